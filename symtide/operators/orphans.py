@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Key ranges (a power of two) and the references from which on a range is split.
-RANGE_BITS, SPLIT_ROWS = 9, 2_000_000
+RANGE_BITS, SPLIT_ROWS = 9, 500_000
 _REASONS = np.array(["", "missing", "late", "deleted"], dtype=object)
 _MAX = np.iinfo(np.int64).max
 
