@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOOLS_KEY = "llm.prediction.tools"
 NODE_SCHEMA = "conv_id long, node_level string, node_path string, parent_path string, ordinal int, node_hash string, parent_hash string, body string"
@@ -106,7 +107,7 @@ class Flattener:
         return self.rows
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _readable(s: pd.Series) -> pd.Series:
     return s.map(lambda t: read_object(t) is not None)
 
