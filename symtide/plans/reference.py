@@ -361,11 +361,11 @@ def alias_info(s: SparkSession, d: str) -> DataFrame:
     return al.alias_info(asked, a, c)
 
 
-@query(f"""WITH {ALIASES}, {_KNOWN}, asked AS (SELECT alias_name AS name FROM aliases WHERE alias_kind = 'typedef'), r AS (SELECT name, name AS expanded FROM asked UNION SELECT a.name, k.canonical_type FROM asked a JOIN known k USING (name))
+@query(f"""WITH {ALIASES}, {_KNOWN}, asked AS (SELECT DISTINCT canonical_type AS name FROM aliases), r AS (SELECT name, name AS expanded FROM asked UNION SELECT a.name, k.canonical_type FROM asked a JOIN known k USING (name))
  SELECT * FROM r UNION SELECT r.name, k.name FROM r JOIN known k ON k.canonical_type = r.expanded""")
 def alias_expand(s: SparkSession, d: str) -> DataFrame:
     a = rel.aliases(s, d)
-    return al.expand_types(a.filter("alias_kind = 'typedef'").select(F.col("alias_name").alias("name")), a)
+    return al.expand_types(a.select(F.col("canonical_type").alias("name")).distinct(), a)
 
 
 @query(f"WITH {ALIASES}, {_KNOWN} SELECT * FROM known")

@@ -25,7 +25,6 @@ def test_fallbacks(spark):
     assert search.explain_empty(s, "nope", "dir/foo.h").alternatives == ("src/Foo.h",)
     assert search.explain_empty(s, "nope") is None
     assert search.explain_empty(s, "(a+)+").reason == "signature_in_pattern"  # a parenthesis is the first thing looked at
-    assert search.explain_empty(s, "a++") is None
     assert search.next_steps(5, filtered=False, n_methods=11, abstract=True) and not search.next_steps(1)
 
 
