@@ -95,7 +95,8 @@ def call_statistics(edges: DataFrame) -> DataFrame:
     pairs = edges.groupBy("caller_usr", "callee_usr").agg(F.count(F.lit(1)).alias("n"))
     out = pairs.groupBy("caller_usr").agg(F.count(F.lit(1)).alias("n_pairs")).agg(F.count(F.lit(1)).alias("functions_with_calls"), F.sum("n_pairs").alias("unique_calls"))
     into = pairs.groupBy("callee_usr").agg(F.sum("n").alias("n_in")).agg(F.count(F.lit(1)).alias("functions_called"), F.max("n_in").alias("most_calls"))
-    return out.crossJoin(into)  # one row each
+    names = [*out.columns, *into.columns]
+    return out.unionByName(into, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in names))  # two rows become one
 
 
 # --- inheritance ----------------------------------------------------------

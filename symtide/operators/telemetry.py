@@ -104,7 +104,7 @@ def failure_labels(records: DataFrame) -> DataFrame:
     labels = F.array_compact(
         F.array(
             F.when(F.coalesce(p, F.lit("")) == "", "empty_pattern"),
-            F.when(p.rlike(r"\(|\b(?:void|bool|int)\b\s+\w+"), "signature_in_pattern"),
+            F.when(p.rlike(r"\(.*\)|\bconst\b.*&|\b(?:void|bool|int)\b\s+\w+"), "signature_in_pattern"),
             F.when(p.rlike(r"^\w+(?:::\w+)+$"), "qualified_name_as_pattern"),
             F.when(F.array_contains("counts", F.lit(0).cast("long")) & ~F.exists("counts", lambda x: x > 0), "empty_results_no_retry"),
             F.when(F.array_contains("counts", F.lit(0).cast("long")) & (p.startswith("^") | p.endswith("$")), "wrong_regex"),

@@ -610,7 +610,7 @@ def query_matrix(s: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH {_REC}, one AS (SELECT seq, CASE WHEN contains(error, 'connection_error') THEN 'connection_error' WHEN contains(error, 'max_tokens') THEN 'max_tokens_exceeded' WHEN error IS NOT NULL THEN 'other_error' WHEN total_tool_calls = 0 THEN 'no_tool_calls' END AS label FROM ok),
  rest AS (SELECT ok.* FROM ok JOIN one USING (seq) WHERE label IS NULL)
- SELECT label, count(*) AS n FROM (SELECT label FROM one WHERE label IS NOT NULL UNION ALL SELECT 'empty_pattern' FROM rest WHERE pattern = '' UNION ALL SELECT 'signature_in_pattern' FROM rest WHERE regexp_matches(pattern, '\(|\b(void|bool|int)\b\s+\w+')
+ SELECT label, count(*) AS n FROM (SELECT label FROM one WHERE label IS NOT NULL UNION ALL SELECT 'empty_pattern' FROM rest WHERE pattern = '' UNION ALL SELECT 'signature_in_pattern' FROM rest WHERE regexp_matches(pattern, '\(.*\)|\bconst\b.*&|\b(void|bool|int)\b\s+\w+')
  UNION ALL SELECT 'qualified_name_as_pattern' FROM rest WHERE regexp_full_match(pattern, '\w+(::\w+)+') UNION ALL SELECT 'empty_results_no_retry' FROM rest WHERE counts[1] = 0 AND counts[2] = 0
  UNION ALL SELECT 'wrong_regex' FROM rest WHERE (counts[1] = 0 OR counts[2] = 0) AND (starts_with(pattern, '^') OR ends_with(pattern, '$'))) GROUP BY 1""")
 def failure_labels(s: SparkSession, d: str) -> DataFrame:
@@ -634,8 +634,8 @@ def scenario_alignment(s: SparkSession, d: str) -> DataFrame:
     """Each session's calls against the same expected steps, greedily in order."""
     calls = rel.tool_calls(s, d).withColumn("pos", F.row_number().over(telemetry.W.partitionBy("session").orderBy("ts", "call_id")))
     calls = calls.select(F.col("session").alias("scenario_id"), "pos", "tool")
-    want = s.createDataFrame([(1, "view", False), (2, "click", True), (3, "purchase", False)], "pos int, tool string, optional boolean")
-    steps = table(s, d, "events").select(F.col("user_id").alias("scenario_id")).distinct().join(F.broadcast(want))
+    want = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(t).alias("tool"), F.lit(o).alias("optional")) for p, t, o in ((1, "view", False), (2, "click", True), (3, "purchase", False))])
+    steps = table(s, d, "events").select(F.col("user_id").alias("scenario_id")).distinct().select("scenario_id", F.explode(want).alias("w")).select("scenario_id", "w.*")
     return telemetry.align_scenarios(steps, calls, relaxed=True, discovery=("error",))
 
 

@@ -6,6 +6,8 @@ aside, as each reader says.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from ..functions.arguments import clean_arguments
 
 #: C++ file endings, directories that no scan enters, and those of dependencies.
 CPP = (".cpp", ".cc", ".cxx", ".c++", ".h", ".hpp", ".hxx", ".h++")
-EXCLUDED = (".git", ".svn", ".hg", "node_modules", "__pycache__", ".vscode", ".idea", "CMakeFiles", "CONAN")
-DEPENDENCIES = ("vcpkg_installed", "third_party", "ThirdParty", "external", "Dependencies")
+EXCLUDED = (".git", ".svn", ".hg", "node_modules", "__pycache__", ".pytest_cache", ".vs", ".vscode", ".idea", "CMakeFiles", "CMakeCache.txt")
+DEPENDENCIES = ("vcpkg_installed", "third_party", "ThirdParty", "external", "External", "vendor", "dependencies", "packages")
+#: The largest file that is read, in MB.
+MAX_MB = 10
 
 SCHEMAS = {
     "symbols": "usr string, name string, qualified_name string, kind string, file string, line int, column_no int, signature string, is_project boolean, namespace string, access string, parent_class string, "
@@ -64,9 +68,10 @@ def argument_profile(commands: DataFrame) -> DataFrame:
     after = F.filter(F.transform(F.sequence(F.lit(0), F.size("arguments") - 1), lambda i: F.when(F.get("arguments", i) == "-isystem", F.get("arguments", i + 1))), lambda x: x.isNotNull())
     std = F.filter("arguments", lambda x: x.startswith("-std="))
     c = commands.filter("size(arguments) > 0").select("file", std.alias("std"), after.alias("system"))
-    n = c.agg(F.count(F.lit(1)).alias("n_entries"), F.countDistinct("file").alias("n_files"))
-    count = lambda name: c.select(F.explode(name).alias("v")).agg(F.countDistinct("v").alias(f"n_{name}"))
-    return n.crossJoin(count("std")).crossJoin(count("system"))  # one row each
+    parts = [c.agg(F.count(F.lit(1)).alias("n_entries"), F.countDistinct("file").alias("n_files"))]
+    parts += [c.select(F.explode(name).alias("v")).agg(F.countDistinct("v").alias(f"n_{name}")) for name in ("std", "system")]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)  # one row each
+    return every.agg(*(F.max(name).alias(name) for name in every.columns))
 
 
 def under(commands: DataFrame, directories: list[str]) -> DataFrame:
@@ -89,7 +94,8 @@ def source_files(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXC
     path = F.regexp_replace(F.col("path"), "^file:/*", "/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(path.alias("file"), "content")
     ending = F.lower(F.concat(F.lit("."), F.substring_index("file", ".", -1))).isin(*CPP)
-    kept = files.filter(ending & ~naming.skipped_file(F.col("file"), root.rstrip("/"), excluded))
+    small = F.length("content") <= MAX_MB * 1024 * 1024
+    kept = files.filter(ending & small & ~naming.skipped_file(F.col("file"), root.rstrip("/"), excluded))
     return kept.select("file", F.call_function("decode", F.col("content"), F.lit("UTF-8")).alias("content"), F.md5("content").alias("hash"), naming.project_file(F.col("file"), root.rstrip("/"), dependencies).alias("is_project"))
 
 
