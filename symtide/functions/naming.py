@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A C++ class name as written, with up to three levels of template arguments; the same in Java and RE2.
@@ -110,3 +110,23 @@ def brief_of(comment: Column, limit: int = 200) -> Column:
 def doc_text(comment: Column, limit: int = 4000) -> Column:
     """A comment of at most ``limit`` characters, cut ones ending in an ellipsis."""
     return F.when(F.length(comment) > limit, F.concat(F.substring(comment, 1, limit - 3), F.lit("..."))).otherwise(comment)
+
+
+def substituted_bases(bases: Column, parameters: Column, arguments: Column) -> Column:
+    """Bases of an instantiation: a parameter's name or ``type-parameter-D-I`` gives way to its argument."""
+    given = F.map_from_arrays(F.slice(parameters, F.lit(1), F.least(F.size(parameters), F.size(arguments))), F.slice(arguments, F.lit(1), F.least(F.size(parameters), F.size(arguments))))
+
+    def one(b: Column) -> Column:
+        at = F.regexp_extract(b, r"^type-parameter-\d+-(\d+)$", 1)
+        return F.coalesce(given[b], F.when(at != "", F.get(arguments, at.try_cast("int"))), b)
+
+    return F.transform(bases, one)
+
+
+def resolved_bases(symbols: DataFrame) -> DataFrame:
+    """``symbols`` (usr, bases, primary_usr, arguments) with the bases of instantiations that have none filled
+    from their primary template (its bases and parameters)."""
+    primary = symbols.select(F.col("usr").alias("primary_usr"), F.col("bases").alias("__b"), F.col("parameters").alias("__p"))
+    met = symbols.join(primary, "primary_usr", "left")
+    own = F.coalesce(F.size("bases"), F.lit(0)) > 0
+    return met.withColumn("bases", F.when(own | F.col("__b").isNull(), F.col("bases")).otherwise(substituted_bases(F.col("__b"), F.col("__p"), F.coalesce("arguments", F.array().cast("array<string>"))))).drop("__b", "__p")

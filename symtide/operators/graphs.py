@@ -33,6 +33,13 @@ def _neighbours(edges: DataFrame, symbols: DataFrame, here: str, there: str, wha
     return met.select(here, there, name.alias(f"{what}_name"), F.coalesce("is_project", F.lit(False)).alias("is_project"))
 
 
+def project_or_all(neighbours: DataFrame, here: str) -> DataFrame:
+    """Project neighbours of every ``here``; where it has none, all of them, marked in ``expanded``."""
+    has = neighbours.groupBy(here).agg(F.max(F.col("is_project").cast("int")).alias("__p"))
+    met = neighbours.join(has, here)
+    return met.filter(F.col("is_project") | (F.col("__p") == 0)).withColumn("expanded", F.col("__p") == 0).drop("__p")
+
+
 def calls_of(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Every outgoing site whose callee is known, or external but reached through a template."""
     known = symbols.select(F.col("usr").alias("callee_usr"), "name", F.lit(True).alias("known"))

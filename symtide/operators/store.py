@@ -114,3 +114,13 @@ def recent_errors(errors: DataFrame, k: int = 10) -> DataFrame:
 def older_than(errors: DataFrame, days: int, now: str) -> DataFrame:
     """Errors to keep: none older than ``days`` before ``now``."""
     return errors.filter(F.col("at") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def maintenance_plan(size_mb: float, waste_mb: float, n_files: int, least_mb: float = 100, least_waste_mb: float = 10) -> list[str]:
+    """What upkeep a table needs: statistics always, a rewrite when it is large and wasteful or in many small files."""
+    steps = ["analyze"]
+    if size_mb >= least_mb and waste_mb >= least_waste_mb:
+        steps.append("vacuum")
+    if n_files > 1 and size_mb / n_files < 16:
+        steps.append("compact")
+    return steps

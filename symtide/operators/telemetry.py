@@ -215,3 +215,55 @@ def tool_steps(conversations: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["conv_id", "seq", "tool_name", "n_results", "reasoning"])
 
     return latest_readable(conversations).mapInPandas(run, "conv_id long, seq int, tool_name string, n_results int, reasoning string")
+
+
+def result_count(text: Column) -> Column:
+    """How many results a JSON answer holds: a list's length, else that of results or data, else callers and
+    callees, else ``count``, else 1 for any other object; null if it cannot be read."""
+    v = F.call_function("try_parse_json", text)
+    size = lambda path: F.size(F.try_variant_get(v, path, "array<variant>"))
+    calls = F.coalesce(size("$.callers"), F.lit(0)) + F.coalesce(size("$.callees"), F.lit(0))
+    return F.coalesce(
+        size("$"), size("$.results"), size("$.data"), F.when(size("$.callers").isNotNull() | size("$.callees").isNotNull(), calls), F.try_variant_get(v, "$.count", "int"), F.when(F.call_function("schema_of_variant", v).startswith("OBJECT"), 1)
+    )
+
+
+def pass_rates(results: DataFrame, group: str = "category") -> DataFrame:
+    """(group, n, passed, pass_rate with 3 digits) of scenario results (passed)."""
+    return results.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.round(F.avg(F.col("passed").cast("int")), 3).alias("pass_rate"))
+
+
+def expanded_scenarios(scenarios: DataFrame) -> DataFrame:
+    """(scenario_id, query): one row for each of a scenario's ``queries``, numbered ``id/k`` where there are several."""
+    many = scenarios.select("scenario_id", F.size("queries").alias("k"), F.posexplode("queries").alias("i", "query"))
+    return many.select(F.when(F.col("k") > 1, F.concat_ws("/", "scenario_id", (F.col("i") + 1).cast("string"))).otherwise(F.col("scenario_id")).alias("scenario_id"), "query")
+
+
+def chosen(records: DataFrame, ids: list[str] | None = None, categories: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
+    """Records of the given query ids (any case), categories (a name or its first letter) and models (parts of names)."""
+    ok = F.lit(True)
+    if ids:
+        ok &= F.upper("query_id").isin([x.upper() for x in ids])
+    if categories:
+        ok &= F.upper("category").isin([x.upper() for x in categories]) | F.upper(F.substring("query_id", 1, 1)).isin([x.upper() for x in categories])
+    if models:
+        hit = F.lit(False)
+        for m in models:
+            hit |= F.lower("model_id").contains(m.lower())
+        ok &= hit
+    return records.filter(ok)
+
+
+def tool_descriptions(tool_nodes: DataFrame) -> DataFrame:
+    """(tool_name, description) of the tools that conversations name; the first by conversation and path."""
+    name, text = F.coalesce(F.get_json_object("body", "$.function.name"), F.get_json_object("body", "$.name")), F.coalesce(F.get_json_object("body", "$.function.description"), F.get_json_object("body", "$.description"))
+    return tool_nodes.filter("node_level = 'tool'").select(name.alias("tool_name"), text.alias("description"), "conv_id", "node_path").filter("tool_name IS NOT NULL").groupBy("tool_name").agg(F.min_by("description", F.struct("conv_id", "node_path")).alias("description"))
+
+
+def conversation_text(content_nodes: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """(conv_id, line_path, line): the contents of conversations as lines of Markdown, to be read in order of path."""
+    kind, text = F.get_json_object("body", "$.type"), F.get_json_object("body", "$.text")
+    line = F.when(kind == "toolCallRequest", F.concat(F.lit("**call** `"), F.get_json_object("body", "$.name"), F.lit("` "), F.coalesce(F.get_json_object("body", "$.parameters"), F.lit("")))).when(
+        kind == "toolCallResult", F.concat(F.lit("**result** "), F.coalesce(F.get_json_object("body", "$.content"), F.lit("")))
+    ).otherwise(text)
+    return content_nodes.filter("node_level = 'content'").select(conv, F.col("node_path").alias("line_path"), line.alias("line")).filter("line IS NOT NULL")

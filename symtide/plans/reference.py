@@ -207,6 +207,14 @@ def callee_counts(s: SparkSession, d: str) -> DataFrame:
     return got.groupBy("caller_usr").agg(F.count(F.lit(1)).alias("n_callees"), F.count(F.when(F.col("is_project"), 1)).alias("n_project"))
 
 
+@query(f"""WITH {SYM}, {EDGES}, c AS (SELECT DISTINCT e.callee_usr, e.caller_usr, coalesce(s.is_project, false) AS is_project FROM edges e LEFT JOIN sym s ON s.usr = e.caller_usr),
+ h AS (SELECT callee_usr, bool_or(is_project) AS p FROM c GROUP BY 1) SELECT c.callee_usr, c.caller_usr, NOT h.p AS expanded FROM c JOIN h USING (callee_usr) WHERE c.is_project OR NOT h.p""")
+def callers_autoexpand(s: SparkSession, d: str) -> DataFrame:
+    """Project callers; all callers where the project has none."""
+    got = materialize(graphs.callers(rel.call_edges(s, d), rel.symbols(s, d)), "callers")
+    return graphs.project_or_all(got, "callee_usr").select("callee_usr", "caller_usr", "expanded")
+
+
 @query(f"""WITH {SYM}, {EDGES} SELECT e.caller_usr, e.callee_usr, e.file, e.line, e.column_no, coalesce(e.display_name, s.name) AS target, s.usr IS NOT NULL AS known
  FROM edges e LEFT JOIN sym s ON s.usr = e.callee_usr WHERE s.usr IS NOT NULL OR e.templated""")
 def outgoing_sites(s: SparkSession, d: str) -> DataFrame:
