@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..functions.usr import usr_display_name
-from ..session import materialize, release, skew_join
+from ..session import hot_list, materialize, release, skew_join
 
 
 def callers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -50,11 +50,13 @@ def calls_of(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, start: DataFrame, src: str, dst: str, max_depth: int | None = None) -> DataFrame:
     """(node, depth): everything reachable from ``start`` (node) over ``edges``, at its least depth."""
     hops = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct(), "hops")
+    n = hops.count()
+    hubs = hot_list(hops, "node", n)
     frontier = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)), "level")
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.select("node").join(hops, "node").select(F.col("next").alias("node")).distinct()
+        step = skew_join(hops, frontier.select("node"), "node", n, "inner", hot=hubs).select(F.col("next").alias("node")).distinct()
         frontier = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
         if frontier.isEmpty():
             break
@@ -147,10 +149,12 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Kahn's peeling, one join per level: a node comes once all its bases have.
     """
     inner = materialize(edges.filter("base_usr IS NOT NULL").select(F.col("derived_usr").alias("node"), F.col("base_usr").alias("base")).distinct(), "inner")
+    n = inner.count()
+    hubs = hot_list(inner, "base", n)
     state, level = materialize(nodes.select("node", F.lit(None).cast("int").alias("level")).distinct(), "order"), 0
     while True:
         waiting = state.filter("level IS NULL").select(F.col("node").alias("base"))
-        blocked = inner.join(waiting, "base", "left_semi").select("node", F.lit(True).alias("blocked")).distinct()
+        blocked = skew_join(inner, waiting, "base", n, "inner", hot=hubs).select("node", F.lit(True).alias("blocked")).distinct()
         turn = F.when(F.col("level").isNull() & F.col("blocked").isNull(), F.lit(level)).otherwise(F.col("level"))
         after = materialize(state.join(blocked, "node", "left").select("node", turn.alias("level")), "order")
         release(state)

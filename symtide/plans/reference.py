@@ -248,7 +248,7 @@ def call_walks(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EDGES}, p AS (SELECT caller_usr, callee_usr, count(*) AS n FROM edges GROUP BY 1, 2)
  SELECT (SELECT count(DISTINCT caller_usr) FROM p) AS functions_with_calls, (SELECT count(*) FROM p) AS unique_calls, (SELECT count(DISTINCT callee_usr) FROM p) AS functions_called,
- (SELECT max(n) FROM (SELECT sum(n) AS n FROM p GROUP BY callee_usr)) AS most_calls""")
+ CAST((SELECT max(n) FROM (SELECT sum(n) AS n FROM p GROUP BY callee_usr)) AS BIGINT) AS most_calls""")
 def call_statistics(s: SparkSession, d: str) -> DataFrame:
     return graphs.call_statistics(rel.call_edges(s, d))
 

@@ -114,17 +114,22 @@ def hot_keys(df: DataFrame, key: str, total: int, share: float = HOT_SHARE) -> D
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= floor).select(key)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "left", share: float = HOT_SHARE) -> DataFrame:
+def hot_list(df: DataFrame, key: str, total: int, share: float = HOT_SHARE) -> list:
+    """The hot keys of ``df``, at most ``1/share``; small inputs have none."""
+    return [] if total < HOT_ROWS else [r[0] for r in hot_keys(df, key, total, share).collect()]
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "left", share: float = HOT_SHARE, hot: list | None = None) -> DataFrame:
     """Equi-join of ``left`` with ``right`` (unique by ``key``) that no hot key of ``left`` unbalances.
 
     The hot keys, at most ``1/share`` by counting, take their partner rows from a
     broadcast of just those rows; all other rows meet in an ordinary shuffle join.
-    ``left`` is read twice and should be a table or a cheap scan. Null keys find no
+    ``left`` is read twice and should be a table or a cheap scan. ``hot`` gives keys that
+    ``hot_list`` has found already. Null keys find no
     partner: they stay with ``how='left'`` and go with ``'inner'``.
     """
-    if total < HOT_ROWS:
-        return left.join(right, key, how)
-    hot = [r[0] for r in hot_keys(left, key, total, share).collect()]
+    if hot is None:
+        hot = hot_list(left, key, total, share)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
