@@ -14,8 +14,8 @@ source counts as one source of its own.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,6 +114,11 @@ def masked(line: str) -> str:
     return re.sub(r"\s+", " ", m).strip().lower()
 
 
+def line_hash(line: str) -> int:
+    """64 bits of the masked message."""
+    return int.from_bytes(hashlib.blake2b(masked(line).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _sentence(s: str) -> int:
     bare = _EDGE.sub("", s)
     if not bare:
@@ -183,7 +188,7 @@ def messages(documents: DataFrame) -> DataFrame:
                         kind = judge(line)
                         if len(known) > 100_000:
                             known.clear()
-                        got = known[line] = (kind, zlib.crc32(masked(line).encode()) if kind in (RESIDUE, MAYBE) else 0)
+                        got = known[line] = (kind, line_hash(line) if kind in (RESIDUE, MAYBE) else 0)
                     if got[0] == CONTENT:
                         whole = False
                     elif got[0] != NEUTRAL:
