@@ -134,7 +134,7 @@ class Project:
         return Answer(rows if k is None else rows.orderBy(f"{what}_name", there).limit(k), total)
 
     def trace_execution_path(self, source_function: str, target_function: str, max_depth: int = 10) -> list[list[str]]:
-        """One shortest path for each pair of functions the two names mean; the names are taken to mean few."""
-        names = lambda n: [r[0] for r in self._functions(n, None).orderBy("usr").limit(20).collect()]
+        """One shortest path for each pair of functions that the two names mean."""
+        names = lambda n: [r[0] for r in self._functions(n, None).orderBy("usr").collect()]
         got = (graphs.bfs_path(self.edges, a, b, "caller_usr", "callee_usr", max_depth) for a in names(source_function) for b in names(target_function))
         return [p for p in got if p]
