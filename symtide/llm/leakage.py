@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,10 +189,10 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_edit
         index = Index(block, window, max_edits)
         if index.empty:
             continue
-        told = spark.sparkContext.broadcast(index)
+        told = spark.sparkContext.broadcast(cloudpickle.dumps(index))  # as bytes, so no executor needs this module
 
         def probe(batches: Iterator[pd.DataFrame], told=told) -> Iterator[pd.DataFrame]:
-            ix = told.value
+            ix = cloudpickle.loads(told.value)
             known = ix.vocabulary.get
             own, docs, size = [], [], 0
 
