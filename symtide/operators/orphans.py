@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Key ranges (a power of two) and the references from which on a range is split.
-RANGE_BITS, SPLIT_ROWS = 9, 500_000
+#: References that one task should probe, and the finest key ranges (as a power of two) that are counted.
+RANGE_ROWS, FINE_BITS = 100_000, 14
 _REASONS = np.array(["", "missing", "late", "deleted"], dtype=object)
 _MAX = np.iinfo(np.int64).max
 
@@ -132,18 +132,23 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, range_bits: int = RANGE_BITS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, range_rows: int = RANGE_ROWS, fine_bits: int = FINE_BITS) -> DataFrame:
     """Misses of ``refs`` (ref_id long, side, key, made) among ``parents`` (key, made, gone, kept).
 
     A parent lives from ``made`` until ``gone`` (null: for good); with ``kept`` it
     always exists. Gives (ref_id, side, key, reason, made).
     """
     refs = refs.filter(F.col("key").rlike(r"\S"))
-    at = _range("key", range_bits)
-    # At most 2**range_bits counts come to the driver.
-    counts = {r["r"]: r["n"] for r in refs.groupBy(at.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    usual = max(1, sum(counts.values()) // (1 << range_bits))
-    many = {r: min(256, -(-n // max(split_rows // 4, 2 * usual))) for r, n in counts.items() if n > max(split_rows // 2, 4 * usual)}
+    # At most 2**fine_bits counts come to the driver; they say how many ranges to make and which to split.
+    fine = {r["r"]: r["n"] for r in refs.groupBy(_range("key", fine_bits).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(fine.values())
+    bits = min(fine_bits, max(1, (total // range_rows).bit_length()))
+    at = _range("key", bits)
+    counts: dict[int, int] = {}
+    for r, n in fine.items():
+        counts[r >> (fine_bits - bits)] = counts.get(r >> (fine_bits - bits), 0) + n
+    each = max(range_rows, total >> bits)
+    many = {r: -(-n // each) for r, n in counts.items() if n > 2 * each}
     salts = F.coalesce(F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.col("r")], F.lit(1)) if many else F.lit(1)
     kind = dict(refs.dtypes)["made"]
     probes = refs.select(

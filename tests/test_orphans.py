@@ -46,7 +46,7 @@ def test_brute_force(spark):
         a, b = spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS)
         assert found(O.orphan_references(a, b)) == brute(refs, parents)
         # few ranges, hot ones split over salts
-        assert found(O.orphan_references(a, b, range_bits=2, split_rows=100)) == brute(refs, parents)
+        assert found(O.orphan_references(a, b, range_rows=100, fine_bits=2)) == brute(refs, parents)
 
 
 def test_equal_hashes_are_told_apart():
