@@ -10,7 +10,7 @@ from ..session import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.symbol_hierarchy(table(spark, d, "symbols"))
+    return hierarchy.symbol_hierarchy(table(spark, d, "symbols")).select("usr", "root_usr", "depth")
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,7 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_cycles(spark: SparkSession, d: str) -> DataFrame:
     """The cycles: one row per usr on one, with the cycle's smallest usr."""
-    return hierarchy.symbol_hierarchy(table(spark, d, "symbols"), paths=True).filter("on_cycle").select("usr", F.col("root_usr").alias("cycle_usr"))
+    return hierarchy.symbol_hierarchy(table(spark, d, "symbols")).filter("on_cycle").select("usr", F.col("root_usr").alias("cycle_usr"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
