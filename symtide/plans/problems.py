@@ -20,9 +20,8 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     """How many usrs hang below each usr, at any distance, and how far down they reach."""
-    nodes = materialize(hierarchy.symbol_hierarchy(table(spark, d, "symbols"), paths=True).withColumnRenamed("usr", "id"), "nodes")
-    pairs = hierarchy.descendants(nodes)
-    return pairs.groupBy(F.col("ancestor").alias("usr")).agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("reach"))
+    links = materialize(hierarchy.symbol_links(table(spark, d, "symbols")), "parents")
+    return hierarchy.descendant_counts(links).withColumnRenamed("id", "usr")
 
 
 def p1_cycles(spark: SparkSession, d: str) -> DataFrame:
