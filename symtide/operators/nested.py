@@ -9,7 +9,8 @@ Defined results: of each conversation the readable record with the greatest
 (loaded_at, record_id) counts, null loaded_at being the oldest; null conv_ids,
 unreadable texts and texts that are no JSON object give nothing; elements of lists
 that are no objects take a position but give no row; a lone object stands for a
-list of one; all other values where a list is usual count as absent.
+list of one; all other values where a list is usual give no rows. Both kinds of plain
+value stay in the canonical object as they are, so objects that differ in them differ.
 """
 
 from __future__ import annotations
@@ -63,21 +64,32 @@ class Flattener:
     def __init__(self, with_bodies: bool):
         self.with_bodies, self.rows = with_bodies, []
 
-    def node(self, level: str, path: str, above: str, at: int, obj: dict, hashes: dict[str, list]) -> str:
-        """Emit ``obj``, whose child lists ``hashes`` replaces, and give its identity."""
+    def node(self, level: str, path: str, above: str, at: int, obj: dict, hashes: dict[str, list], more: dict[str, list] | None = None) -> str:
+        """Emit ``obj``, where ``hashes`` stand for the objects of child lists, and give its identity.
+
+        In ``#field`` an object's hash is a text and a plain element a list of that one element; a
+        field that is neither list nor object stays in place. ``more`` has lists that are no fields of their own.
+        """
         if not self.with_bodies:
             self.rows.append((level, path, above, at, None, None))
             return ""
-        small = {k: v for k, v in obj.items() if k not in hashes} | {f"#{k}": v for k, v in hashes.items()}
-        own = _digest([level, small])
+        lists = {k: v for k, v in hashes.items() if isinstance(obj.get(k), list | dict)}
+        small, names = {k: v for k, v in obj.items() if k not in lists}, []
+        for k, v in [*lists.items(), *(more or {}).items()]:
+            name = f"#{k}"
+            while name in small:  # a field of the object itself
+                name = f"#{name}"
+            small[name] = v
+            names.append(name)
+        own = _digest([level, small, names])
         self.rows.append((level, path, above, at, own, json.dumps(small, sort_keys=True, separators=(",", ":"))))
         return own
 
     def many(self, xs: list, level: str, above: str, fill) -> list:
-        """Hashes of the elements in order; None for those that are no objects."""
+        """Hashes of the elements in order; those that are no objects as lists of themselves."""
         out = []
         for i, x in enumerate(xs):
-            out.append(fill(x, f"{above}/{i}" if above else str(i), above, i) if isinstance(x, dict) else None)
+            out.append(fill(x, f"{above}/{i}" if above else str(i), above, i) if isinstance(x, dict) else [x])
         return out
 
     def content(self, x, path, above, i):
@@ -91,7 +103,7 @@ class Flattener:
                 for t, tool in enumerate(_list(_get(_get(field, "value"), "tools"))):
                     if isinstance(tool, dict):
                         tools.append(self.node("tool", f"{path}/{f}/{t}", path, t, tool, {}))
-        return self.node("step", path, above, i, x, hashes | ({"tools": tools} if tools else {}))
+        return self.node("step", path, above, i, x, hashes, {"tools": tools} if tools else None)
 
     def version(self, x, path, above, i):
         hashes = {"steps": self.many(_list(x.get("steps")), "step", path, self.step)}

@@ -53,6 +53,17 @@ def test_identities(spark):
     assert up[("0/0/-/0", "content")] == ("0/0", a[("0/0", "version")]) and up[("0", "message")] == ("", a[("", "conversation")])
 
 
+def test_plain_values_tell_objects_apart(spark):
+    fields = [{"content": c} for c in ("hello", "other", None, [], ["a"], ["b"], [{}], [{}, 1], [{}, 2], 0)] + [{}, {"tools": 1}, {"tools": [1]}, {"#content": []}, {"#content": [], "content": []}]
+    steps = {"messages": [{"versions": [{"steps": fields}]}]}
+    plain = [{"messages": m} for m in ("x", "y", None, ["x"], ["y"])] + [{"messages": [{"versions": v}]} for v in ("x", "y", 3)]
+    rows = [(i, i, t(1), json.dumps(x)) for i, x in enumerate([steps, *plain])]
+    objects = N.objects(N.nodes(spark.createDataFrame(rows, SCHEMA))).collect()
+    n = lambda level: sum(r["node_level"] == level for r in objects)
+    assert (n("step"), n("conversation"), n("message")) == (len(fields), len(rows), 4)
+    assert any("hello" in r["body"] for r in objects) and all(r["n_occurrences"] == 1 for r in objects if r["node_level"] == "step")
+
+
 def test_long_and_deep(spark):
     deep = "[" * 100_000
     rows = [(1, 1, t(1), json.dumps({"messages": [{"versions": []}] * 3000, "x": "y" * 300_000})), (2, 2, t(1), deep), (3, 3, t(1), '{"messages": [{"a": "\\ud800"}]}')]
