@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .packed import rule_values
+
 #: What counts as a compiler and as a source file.
 COMPILERS = {"gcc", "g++", "clang", "clang++", "cc", "c++", "cl"}
 SOURCES = (".c", ".cc", ".cpp", ".cxx", ".c++", ".m", ".mm")
@@ -104,6 +106,16 @@ def clean_arguments(args: Column, directory: Column, rules: list[dict] | None =
     return run(args, directory)
 
 
+def command_words(command: Column) -> Column:
+    """The arguments of a command written as text (as in p7); null for null and blank texts."""
+
+    @F.pandas_udf("array<string>")
+    def run(c: pd.Series) -> pd.Series:
+        return c.map(lambda t: rule_values(t, "command") if isinstance(t, str) and t.strip() else None)
+
+    return run(command)
+
+
 def arguments_hash(args: Column, sort: bool = False) -> Column:
     """SHA-256 of the arguments joined by ``|``; with ``sort`` their order does not matter."""
     return F.sha2(F.array_join(F.array_sort(args) if sort else args, "|"), 256)

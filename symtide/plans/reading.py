@@ -34,7 +34,8 @@ def _commands(s: SparkSession, d: str) -> DataFrame:
 def compile_arguments(s: SparkSession, d: str) -> DataFrame:
     """The cleaned arguments of each file's last command."""
     rules = [{"type": "prefix_match", "patterns": ["-Wl,", "-march="]}, {"type": "exact_match", "patterns": ["-g"]}, {"type": "flag_with_optional_value", "pattern": "-include"}]
-    return tables.latest_arguments(_commands(s, d).filter("arguments IS NOT NULL"), rules, ("-std=c++17",))
+    t = table(s, d, "compile_commands").select("file", "directory", "command", "arguments", F.col("command_id").alias("position"))
+    return tables.latest_arguments(t, rules, ("-std=c++17",))
 
 
 @_put("""WITH a AS (SELECT file, arguments FROM compile_commands WHERE len(arguments) > 0), u AS (SELECT unnest(arguments) AS v, unnest(list_concat(arguments[2:], [NULL])) AS nxt FROM a)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..functions.arguments import clean_arguments
+from ..functions.arguments import clean_arguments, command_words
+from ..session import blank
 
 #: C++ file endings, directories that no scan enters, and those of dependencies.
 CPP = (".cpp", ".cc", ".cxx", ".c++", ".h", ".hpp", ".hxx", ".h++")
@@ -57,9 +58,15 @@ def compile_database(spark: SparkSession, path: str, root: str = "") -> DataFram
 
 
 def latest_arguments(commands: DataFrame, rules: list[dict] | None = None, fallback: tuple[str, ...] = ()) -> DataFrame:
-    """(file, arguments): the last command of each file, cleaned; ``fallback`` where a file has none."""
-    last = commands.groupBy("file").agg(F.max_by(F.struct("arguments", "directory"), "position").alias("s"))
-    got = F.when(F.col("s.arguments").isNotNull(), clean_arguments(F.col("s.arguments"), F.col("s.directory"), rules))
+    """(file, arguments): the last command of each file, cleaned; ``fallback`` where a file has none.
+
+    A ``command`` text, where the column is there, counts where ``arguments`` is null; entries with neither count last.
+    """
+    text = F.col("command") if "command" in commands.columns else F.lit(None).cast("string")
+    told = F.col("arguments").isNotNull() | ~blank(text)
+    last = commands.groupBy("file").agg(F.max_by(F.struct("arguments", text.alias("command"), "directory"), F.struct(told, "position")).alias("s"))
+    words = F.coalesce("s.arguments", command_words(F.col("s.command")))
+    got = F.when(words.isNotNull(), clean_arguments(words, F.col("s.directory"), rules))
     return last.select("file", F.coalesce(got, F.array(*[F.lit(x) for x in fallback]).cast("array<string>")).alias("arguments"))
 
 

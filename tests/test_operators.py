@@ -123,6 +123,16 @@ def test_sources(spark, tmp_path):
     assert tables.json_lines(spark, str(tmp_path / "log.json"), "parse_errors", keep_bad=True).cache().filter("_corrupt_record IS NOT NULL").count() == 1
 
 
+def test_commands_as_text_count(spark):
+    rows = [
+        ("/a.c", "/d", None, ["cc", "-DA"], 1), ("/a.c", "/d", "cc -D'B C' -Ix\\ y -c a.c", None, 2), ("/b.c", "/d", "cc -DOLD b.c", None, 1), ("/b.c", "/d", None, ["cc", "-DNEW", "b.c"], 2),
+        ("/c.c", "/d", "g++ -DC", None, 1), ("/c.c", "/d", "  ", None, 2), ("/e.c", "/d", None, None, 1),
+    ]
+    cc = spark.createDataFrame(rows, "file string, directory string, command string, arguments array<string>, position long")
+    got = {r["file"]: r["arguments"] for r in tables.latest_arguments(cc, fallback=("-std=c++17",)).collect()}
+    assert got == {"/a.c": ["-DB C", "-I/d/x y"], "/b.c": ["-DNEW"], "/c.c": ["-DC"], "/e.c": ["-std=c++17"]}
+
+
 def test_definition_wins_prefers_richer(spark, data):
     base = rel.all_symbols(spark, data).limit(1)
     rows = base.withColumn("usr", F.lit("u"))
