@@ -70,9 +70,6 @@ class Flattener:
         In ``#field`` an object's hash is a text and a plain element a list of that one element; a
         field that is neither list nor object stays in place. ``more`` has lists that are no fields of their own.
         """
-        if not self.with_bodies:
-            self.rows.append((level, path, above, at, None, None))
-            return ""
         lists = {k: v for k, v in hashes.items() if isinstance(obj.get(k), list | dict)}
         small, names = {k: v for k, v in obj.items() if k not in lists}, []
         for k, v in [*lists.items(), *(more or {}).items()]:
@@ -82,7 +79,7 @@ class Flattener:
             small[name] = v
             names.append(name)
         own = _digest([level, small, names])
-        self.rows.append((level, path, above, at, own, json.dumps(small, sort_keys=True, separators=(",", ":"))))
+        self.rows.append((level, path, above, at, own, json.dumps(small, sort_keys=True, separators=(",", ":")) if self.with_bodies else None))
         return own
 
     def many(self, xs: list, level: str, above: str, fill) -> list:
@@ -133,8 +130,8 @@ def latest_readable(conversations: DataFrame) -> DataFrame:
 def nodes(conversations: DataFrame, with_bodies: bool = True) -> DataFrame:
     """Every object of every conversation as a bridge row, see ``NODE_SCHEMA``.
 
-    ``body`` is the canonical object with its children as hashes. Without bodies
-    hashes and bodies are null and cost nothing.
+    ``body`` is the canonical object with its children as hashes; ``with_bodies=False``
+    leaves it null, the identities stay.
     """
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -64,6 +64,12 @@ def test_plain_values_tell_objects_apart(spark):
     assert any("hello" in r["body"] for r in objects) and all(r["n_occurrences"] == 1 for r in objects if r["node_level"] == "step")
 
 
+def test_identities_without_bodies(spark):
+    df = spark.createDataFrame([(1, 1, t(1), json.dumps(OBJ))], SCHEMA)
+    full, lean = ({(r["node_path"], r["node_level"]): (r["node_hash"], r["parent_hash"]) for r in N.nodes(df, with_bodies=b).collect()} for b in (True, False))
+    assert full == lean and all(h for h, _ in lean.values())
+
+
 def test_long_and_deep(spark):
     deep = "[" * 100_000
     rows = [(1, 1, t(1), json.dumps({"messages": [{"versions": []}] * 3000, "x": "y" * 300_000})), (2, 2, t(1), deep), (3, 3, t(1), '{"messages": [{"a": "\\ud800"}]}')]
