@@ -3,8 +3,10 @@
 Method: every item-sized word window is embedded by the CGK random walk, which
 turns edit distance into Hamming distance; repeated bit-sampling LSH over the
 embeddings proposes pairs of windows and an exact check decides. Equal windows
-always embed alike, so with ``max_edits=0`` the recall is 1 by construction; with
-edits it grows with the number of ``TABLES``.
+always embed alike, so with ``max_edits=0`` the recall is 1 by construction. With
+edits the tables alone miss pairs, so every item window is also cut into
+``max_edits + 1`` seeds, one of which any near copy holds unedited; looking all seeds
+up makes the recall 1 there as well.
 
 The items are a stated query set: they are taken in blocks of bounded size, and
 each block is broadcast and run against all documents. Words that no item has are
@@ -98,6 +100,43 @@ class Embedding:
         return out
 
 
+def seed_places(window: int, most: int) -> list[tuple[int, int, list[int]]]:
+    """(start, length, starts in a copy) of the ``most + 1`` seeds of a window.
+
+    Both windows are equally long, so each shift is undone within the window and costs
+    two edits: an unedited seed stands at most ``most // 2`` words off its place.
+    """
+    cuts = [window * i // (most + 1) for i in range(most + 2)]
+    return [(a, b - a, [at for at in range(a - most // 2, a + most // 2 + 1) if 0 <= at <= window - (b - a)]) for a, b in zip(cuts, cuts[1:])]
+
+
+def seed_keys(words: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each row of word ids."""
+    k = np.full(len(words), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for j in range(words.shape[1]):
+        k = (k ^ (words[:, j].astype(np.uint64) + np.uint64(1))) * np.uint64(0xBF58476D1CE4E5B9)
+        k ^= k >> np.uint64(31)
+    return k
+
+
+def within(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` (n x words) are at most ``most`` edits apart; only places up to ``most // 2`` off the diagonal can be."""
+    n, w = a.shape
+    band, far = most // 2, np.full(len(a), most + 1, dtype=np.int8)
+    row = {j: np.full(n, j, dtype=np.int8) for j in range(band + 1)}
+    for i in range(1, w + 1):
+        new: dict[int, np.ndarray] = {}
+        for j in range(max(0, i - band), min(w, i + band) + 1):
+            if j == 0:
+                new[0] = np.full(n, i, dtype=np.int8)
+                continue
+            best = row[j - 1] + (a[:, i - 1] != b[:, j - 1])
+            best = np.minimum(best, np.minimum(row.get(j, far), new.get(j - 1, far)) + 1)
+            new[j] = np.minimum(best, far).astype(np.int8)
+        row = new
+    return row[w] <= most
+
+
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two windows, or ``most + 1`` if it is larger."""
     if most == 0:
@@ -137,6 +176,11 @@ class Index:
         keys = self.embedding.keys(self.windows)
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
+        self.seeds: list[tuple[int, list[int], np.ndarray, np.ndarray]] = []
+        for a, n, places in seed_places(window, max_edits) if max_edits else []:
+            k = seed_keys(self.windows[:, a : a + n])
+            by = np.argsort(k, kind="stable")
+            self.seeds.append((n, places, k[by], by))
 
     def stretches(self, nums: np.ndarray) -> np.ndarray:
         """Starts of the windows of a document that hold enough item words to match."""
@@ -147,6 +191,8 @@ class Index:
 
     def leaked(self, own: np.ndarray, docs: np.ndarray) -> set[tuple[int, int]]:
         """(doc, item) of the windows ``own``, each of a document ``docs``, that copy an item's window up to ``max_edits``."""
+        if self.max_edits:
+            return self.near(own, docs)
         keys = self.embedding.keys(own)
         found: set[tuple[int, int]] = set()
         tried: set[tuple[int, int]] = set()
@@ -162,6 +208,27 @@ class Index:
         return found
 
 
+    def near(self, own: np.ndarray, docs: np.ndarray) -> set[tuple[int, int]]:
+        """``leaked`` with edits: the tables and all seeds propose, ``within`` decides."""
+        asked = [(k, self.keys[t], self.order[t]) for t, k in enumerate(self.embedding.keys(own))]
+        asked += [(seed_keys(own[:, at : at + n]), k, by) for n, places, k, by in self.seeds for at in places]
+        found: set[tuple[int, int]] = set()
+        for mine, keys, order in asked:
+            lo, hi = np.searchsorted(keys, mine, side="left"), np.searchsorted(keys, mine, side="right")
+            ends = np.cumsum(hi - lo)
+            total = int(ends[-1]) if len(ends) else 0
+            for first in range(0, total, PAIRS_AT_ONCE):
+                at = np.arange(first, min(first + PAIRS_AT_ONCE, total))
+                i = np.searchsorted(ends, at, side="right")
+                k = order[hi[i] - ends[i] + at]
+                ok = np.flatnonzero(within(own[i], self.windows[k], self.max_edits))
+                hits = np.unique(np.stack([docs[i[ok]], k[ok]], axis=1), axis=0)
+                found.update((doc, item) for doc, w in hits.tolist() for item in self.owners[w])
+        return found
+
+
+#: Pairs of windows that are compared at a time.
+PAIRS_AT_ONCE = 200_000
 #: Windows that are embedded at a time.
 WINDOWS_AT_ONCE = 50_000
 

@@ -65,6 +65,37 @@ def test_recall_with_edits():
     assert (a == b).any(axis=0).mean() >= 0.8 and (emb.keys(base[:50]) == a[:, :50]).all()
 
 
+def edited(rng, row, subs, moves):
+    """``row`` with ``subs`` words replaced and ``moves`` words taken out, the end filled up."""
+    row = row.tolist()
+    for at in rng.choice(len(row), size=subs, replace=False):
+        row[at] = int(rng.integers(0, 5000))
+    for _ in range(moves):
+        if rng.random() < 0.5:
+            row.pop(int(rng.integers(len(row))))
+            row.append(0)
+        else:
+            row.insert(int(rng.integers(len(row))), 0)
+            row.pop()
+    return row
+
+
+def test_every_near_window_is_found():
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 5000, size=(300, 16)).astype(np.int32)
+    base[100:] = rng.integers(1, 4, size=(200, 16))  # few words, many near pairs
+    index = L.Index([(i, [str(x) for x in row]) for i, row in enumerate(base)], 16, 2)
+    nums = np.array([[index.vocabulary.get(str(x), 0) for x in row] for row in base], dtype=np.int32)
+    for subs, moves in ((1, 0), (2, 0), (0, 1), (1, 1)):
+        own = np.array([edited(rng, row, subs, moves) for row in nums], dtype=np.int32)
+        pairs = [(d, i) for d in range(300) for i in range(300) if d // 100 == i // 100]
+        a, b = own[[d for d, _ in pairs]], nums[[i for _, i in pairs]]
+        near = {p for p, x, y in zip(pairs[::7], a[::7], b[::7]) if L.edits(x, y, 2) <= 2}
+        assert {p for p, ok in zip(pairs[::7], L.within(a[::7], b[::7], 2)) if ok} == near
+        got = index.leaked(own, np.arange(300))
+        assert {p for p, ok in zip(pairs, L.within(a, b, 2)) if ok} <= got and (subs + 2 * moves > 2 or {(d, d) for d in range(300)} <= got)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([(1, "a b")], ITEMS)
