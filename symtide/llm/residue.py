@@ -5,7 +5,9 @@ identifiers in it are masked, exact hashes of the masked messages are grouped ov
 the whole corpus to see across how many sources they recur, and messages are
 classified by phrase and placeholder rules; messages that only sound like notices
 count as such when they recur widely. A document is a case if it holds residue and
-nothing but residue, headings, menus and footers.
+nothing but residue, headings, menus and footers. What only sounds like a notice is
+residue for that too where it stands beside listed residue in widely spread documents;
+recurrence alone makes none, as sentences of content recur as widely.
 
 Defined results: null and blank texts are no cases; a text with one line of content
 is none; texts are judged as wholes; repeated rows each count (doc_id once); a null
@@ -92,8 +94,14 @@ _AROUND = [
     r"(?:(?:best|kind|with kind) )?regards|thanks|thank you|cheers|sincerely|yours|(?:hi|hello|dear)(?: all| team| reader)?",
 ]
 
-#: A short message with one of these words may be a notice nobody listed.
-_CUE = re.compile(r"(?i)\b(?:try again|unavailable|browser|javascript|cookies|sign in|log in|administrator|webmaster|reload|maintenance|redirect\w*|captcha|robot|expired|denied|forbidden|support team|contact us|apologi[sz]e|sorry|temporarily)\b")
+#: A short message with one of these words may be a notice nobody listed (English, German, Spanish, French, Chinese); for lower case.
+_CUE = re.compile(
+    r"\b(?:try again|unavailable|browser|javascript|cookies|sign in|log in|administrator|webmaster|reload|maintenance|redirect\w*|captcha|robot|expired|denied|forbidden|support team|contact us|apologi[sz]e|sorry|temporarily"
+    r"|erneut|nicht verfügbar|nicht erreichbar|anmelden|einloggen|wartung\w*|weitergeleitet|abgelaufen|gesperrt|verweigert|leider|entschuldig\w*|vorübergehend"
+    r"|inténtelo|no disponible|navegador|sesión|administrador|mantenimiento|redirig\w*|caducad[oa]|expirad[oa]|denegad[oa]|prohibid[oa]|lo sentimos|disculp\w*|temporalmente"
+    r"|réessay\w*|indisponible|navigateur|connecter|connectez|administrateur|expirée?|refusée?|interdite?|désolés?|excus\w*|temporairement)\b"
+    r"|浏览器|登录|管理员|维护|稍后|稍候|重试|过期|拒绝|抱歉|暂时|跳转|验证码"
+)
 
 
 def _full(parts: list[str]) -> re.Pattern:
@@ -132,7 +140,7 @@ def _sentence(s: str) -> int:
         return NEUTRAL
     if re.fullmatch(r"[A-Za-z_]\w*(?:(?:::|/)\w+)*(?:\.\w+)?", bare) and (not bare.islower() or "_" in bare or "/" in bare):
         return NEUTRAL  # the name of a class or file alone: a title
-    if len(words) <= 14 and _CUE.search(bare):
+    if len(words) <= 14 and len(_CJK.findall(bare)) <= 40 and _CUE.search(bare.lower()):
         return MAYBE
     return CONTENT
 
@@ -168,9 +176,9 @@ def judge(line: str) -> int:
 
 
 def messages(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, line_hash, kind, open): the messages that can decide about a document.
+    """(doc_id, source, line_hash, kind, open, beside): the messages that can decide about a document.
 
-    Of documents with a line of content only the maybe-lines come out (``open``
+    ``beside``: listed residue stands in the document, and no content. Of documents with a line of content only the maybe-lines come out (``open``
     false): they count for how widely a message recurs.
     """
 
@@ -181,7 +189,7 @@ def messages(documents: DataFrame) -> DataFrame:
             for doc, source, text in zip(b["doc_id"], b["source"], b["text"]):
                 rows, whole = {}, True
                 for line in re.split(r"[\r\n]+", text):
-                    if not line.strip() or not whole and not _CUE.search(line):
+                    if not line.strip() or not whole and not _CUE.search(line.lower()):
                         continue  # once there is content, only a notice nobody listed is of interest
                     got = known.get(line)
                     if got is None:
@@ -193,21 +201,23 @@ def messages(documents: DataFrame) -> DataFrame:
                         whole = False
                     elif got[0] != NEUTRAL:
                         rows[got[1]] = got[0]
-                out += [(doc, source, h, k, whole) for h, k in rows.items() if whole or k == MAYBE]
-            yield pd.DataFrame(out, columns=["doc_id", "source", "line_hash", "kind", "open"])
+                beside = whole and RESIDUE in rows.values()
+                out += [(doc, source, h, k, whole, beside) for h, k in rows.items() if whole or k == MAYBE]
+            yield pd.DataFrame(out, columns=["doc_id", "source", "line_hash", "kind", "open", "beside"])
 
     texts = documents.select("doc_id", "source", "text").filter(F.col("text").isNotNull())
-    return texts.mapInPandas(run, "doc_id long, source string, line_hash long, kind int, open boolean")
+    return texts.mapInPandas(run, "doc_id long, source string, line_hash long, kind int, open boolean, beside boolean")
 
 
 def residue_documents(documents: DataFrame, wide: int = WIDE) -> DataFrame:
     """(doc_id, n_messages, n_sources) of the documents that are residue as a whole."""
     got = messages(documents)
     # Two steps, so a message of very many documents is counted without gathering them.
-    spread = got.groupBy("line_hash", F.coalesce("source", F.lit("")).alias("source")).agg(F.lit(1).alias("one")).groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_sources"))
+    spread = got.groupBy("line_hash", F.coalesce("source", F.lit("")).alias("source")).agg(F.max("beside").alias("beside")).groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_sources"), F.count(F.when(F.col("beside"), 1)).alias("n_beside"))
     judged = got.filter("open").join(spread, "line_hash")
     ok = (F.col("kind") == RESIDUE) | (F.col("n_sources") >= wide)
-    return judged.groupBy("doc_id").agg(F.min(ok.cast("int")).alias("all_ok"), F.min("kind").alias("least"), F.count(F.lit(1)).alias("n_messages"), F.max("n_sources").alias("n_sources")).filter(f"all_ok = 1 AND least = {RESIDUE}").select("doc_id", "n_messages", "n_sources")
+    sure = (F.col("kind") == RESIDUE) | (F.col("n_beside") >= wide)
+    return judged.groupBy("doc_id").agg(F.min(ok.cast("int")).alias("all_ok"), F.max(sure.cast("int")).alias("any_sure"), F.count(F.lit(1)).alias("n_messages"), F.max("n_sources").alias("n_sources")).filter("all_ok = 1 AND any_sure = 1").select("doc_id", "n_messages", "n_sources")
 
 
 def recurring_messages(documents: DataFrame) -> DataFrame:

@@ -36,6 +36,15 @@ def test_unlisted_notices_need_to_recur(spark):
     assert found(mk([(i, odd, f"s{i}") for i in range(5)])) == set()
 
 
+@pytest.mark.parametrize("odd", ["Kindly contact us if the robot 7 was mistaken.", "Leider ist dieser Bereich gerade geschlossen.", "Lo sentimos, esta zona no abre hoy.", "Désolé, cet espace est fermé.", "抱歉，这里今天不开放"])
+def test_notices_known_by_company_count_alone(spark, odd):
+    docs = [(i, f"404 Not Found\n{odd}", f"s{i}") for i in range(3)]
+    mk = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert R.judge(odd) == R.MAYBE and found(mk([*docs, (10, odd, "s9")])) == {0, 1, 2, 10}
+    assert found(mk([*docs[:2], (10, odd, "s9")])) == {0, 1}
+    assert found(mk([*docs, (10, odd + "\nThe cache is read again.", "s9")])) == {0, 1, 2}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert R.residue_documents(none).count() == R.recurring_messages(none).count() == 0
