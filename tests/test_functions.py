@@ -19,14 +19,13 @@ def test_pattern_type(p, kind):
 MATCHES = [
     ("app::ui::View", "view", True), ("app::ui::View", "ui::View", True), ("app::ui::View", "UI::VIEW", True), ("app::ui::View", "pui::View", False), ("app::ui::View", "::app::ui::View", True),
     ("app::ui::View", "::app::ui::view", False), ("app::ui::View", "::View", False), ("View", "::View", True), ("app::ui::View", "app::.*", True), ("app::ui::View", "ui::.*", False), ("app::ui::View", "", True),
-    ("É", "é", True), ("x\n", "x.?", False), ("f(int * )", "::f(int*)", True), ("a::b", "a::(b", False), ("View", "(?P<n>V).*", False),
+    ("É", "é", True), ("x\n", "x.?", False), ("f(int * )", "::f(int*)", True), ("a::b", "a::(b", False), ("View", "(?P<n>V).*", True),
+    ("VV", "(?P<n>V)(?P=n)", True), ("View", "(?<n>V).*", False), ("View", "V(?i:I)ew\\Z", True), ("a[b", "a[[]b", True), ("a]b", "a[]]b", True), ("View", "V{2,1}", False), ("a&&b", "a[&&x]+b", True),
 ]
 
 
 def test_matching(spark):
     for name, p, want in MATCHES:
-        if p == "(?P<n>V).*":
-            continue  # Java has no such groups; covered by the driver's check of the expression
         got = spark.range(1).select(P.matches_qualified(F.lit(name), p)).first()[0]
         assert got is want, (name, p)
 
@@ -50,6 +49,17 @@ def test_safe_and_complexity(spark):
     for p in ("foo.*", "(a(b))", "x|y|z", "(a+)+", "(a|b)*", "[a-z]{2}"):
         assert spark.range(1).select(P.complexity_column(F.lit(p))).first()[0] == P.complexity(p)
     assert P.safe("get.*") == "get.*"
+    assert P.unsafe_because("([a+]b)+") is None and P.unsafe_because(r"(\(a+\))*") and P.unsafe_because("((a|b))*") and P.complexity("(a+)+") == 54
+
+
+LINT = [("Foo\\\\.*", True, False, True), ("Foo\\.", True, False, True), ("Foo\\.*", False, False, True), ("^Foo", False, True, True), ("[^a]Foo^", False, False, False), ("Foo$", False, True, True), ("I[A-Z]", False, False, True), ("getValue.", False, False, False)]
+
+
+def test_lint(spark):
+    for p, escapes, anchors, short in LINT:
+        assert (P.has_double_escapes(p), P.has_anchors(p), P.is_short_regex(p)) == (escapes, anchors, short), p
+        got = spark.range(1).select(*(v.alias(k) for k, v in P.pattern_lint(F.lit(p)).items())).first()
+        assert tuple(got) == (escapes, anchors, short), p
 
 
 def test_signatures():
@@ -62,7 +72,9 @@ def test_signatures():
     "usr, name",
     [
         ("c:@N@app@S@Foo@F@bar#i#", "app::Foo::bar"), ("c:@S@Box>#I", "Box<unsigned int>"), ("c:@S@Box>#$@N@a@S@B", "Box<a::B>"), ("c:@ST>1#T@Container", "Container"), ("c:@SP>1#T@Pair>#*t0.0", "Pair<T *>"),
-        ("c:@N@ns@FT@>1#Tmax#t0.0#S0_#S0_#", "ns::max"), ("c:@F@free#", "free"), ("c:@S@V>#&1c", "V<const char &>"), ("plain", "plain"), ("", ""), (None, None),
+        ("c:@N@ns@FT@>1#Tmax#t0.0#S0_#S0_#", "ns::max"), ("c:@F@free#", "free"), ("c:@S@V>#&1c", "V<const char &>"), ("c:@F@foo#$@N@std@S@string#i#", "foo"), ("c:@N@a@S@B@F@operator->#*#d#1", "a::B::operator->"), ("c:@S@A>#I#*b@F@f#v#", "A<unsigned int, bool *>::f"),
+        ("c:@S@N>#VI4#c", "N<unsigned int, char>"), ("c:@N@a@ST>2#T#NI@Box@F@f#", "a::Box::f"), ("c:x.cpp@12@F@local#", "local"), ("c:@N@a@aN@F@f#", "a::f"), ("c:@S@B>#&&3t0.1", "B<const volatile U &&>"),
+        ("plain", "plain"), ("", ""), (None, None),
     ],
 )
 def test_usr(usr, name):
