@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import _fs, remove_path
-from .changes import _read_text, _write_text
+from .changes import _names, _read_text, _write_text
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -44,9 +44,19 @@ class Table:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _pointers(self) -> list[int]:
+        return sorted(int(n.split(".")[1]) for n in _names(self.spark, self.path) if n.startswith("_current.") and n.endswith(".json"))
+
     def _pointer(self) -> dict | None:
-        fs, p = _fs(self.spark, f"{self.path}/_current.json")
-        return json.loads(_read_text(self.spark, f"{self.path}/_current.json")) if fs.exists(p) else None
+        """The latest pointer; each commit writes one under a new number, so there is one at any time."""
+        numbers = self._pointers()
+        return json.loads(_read_text(self.spark, f"{self.path}/_current.{numbers[-1]}.json")) if numbers else None
+
+    def _point(self, told: dict) -> None:
+        numbers = self._pointers()
+        _write_text(self.spark, f"{self.path}/_current.{numbers[-1] + 1 if numbers else 1}.json", json.dumps(told))
+        for n in numbers[:-1]:
+            remove_path(self.spark, f"{self.path}/_current.{n}.json")
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self._pointer()['version']}")
@@ -56,7 +66,7 @@ class Table:
         now, version = self._pointer() or {"versions": []}, f"v-{uuid.uuid4().hex[:12]}"
         df.write.parquet(f"{self.path}/{version}")
         versions = [*now["versions"], version]
-        _write_text(self.spark, f"{self.path}/_current.json", json.dumps({"version": version, "versions": versions[-keep:]}))
+        self._point({"version": version, "versions": versions[-keep:]})
         for old in versions[:-keep]:
             remove_path(self.spark, f"{self.path}/{old}")
 
@@ -65,7 +75,7 @@ class Table:
         now = self._pointer()
         versions = now["versions"][:-1]
         if versions:
-            _write_text(self.spark, f"{self.path}/_current.json", json.dumps({"version": versions[-1], "versions": versions}))
+            self._point({"version": versions[-1], "versions": versions})
 
 
 # --- statistics and checks ------------------------------------------------

@@ -46,7 +46,23 @@ def p2_kind_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return changes.capture_changes(table(spark, d, "file_metadata"), table(spark, d, "index_runs")).select("run_id", "file_path")
+    return changes.capture_changes(table(spark, d, "file_metadata"), table(spark, d, "index_runs"), batches=2).select("run_id", "file_path")
+
+
+def p3_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """p3_found with a failure: the second of three batches dies before its commit and another process replays it."""
+    log, runs = table(spark, d, "file_metadata"), table(spark, d, "index_runs")
+    arrivals = changes.arrivals_of(log, 3)
+    first = changes.ChangeCapture(spark, arrivals=arrivals)
+    first.run(log, runs)
+    try:
+        first.run(log, runs, fail_before_commit=True)
+    except RuntimeError:
+        pass
+    second = changes.ChangeCapture(spark, first.dir, arrivals=arrivals)
+    while second.run(log, runs):
+        pass
+    return second.changes().select("run_id", "file_path")
 
 
 def p3_run_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +111,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return multivalue.split_values(rows).select("source_table", "record_key", "pos", "item")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p2_found, p2_profile, p2_two_step_chains, p2_kind_matrix, p3_found, p3_run_summary, p5_found, p5_bridge, p5_objects, p5_tools, p6_found, p6_report, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p2_found, p2_profile, p2_two_step_chains, p2_kind_matrix, p3_found, p3_replayed, p3_run_summary, p5_found, p5_bridge, p5_objects, p5_tools, p6_found, p6_report, p7_found)}
 
 # --- SQL ------------------------------------------------------------------
 
@@ -153,6 +169,7 @@ states AS (
   SELECT g.k, g.run_id, r.file_path, max_by(r.fh || '/' || r.ah, (r.indexed_at, r.record_id)) AS state FROM good g JOIN rows_that_count r ON r.k <= g.k GROUP BY 1, 2, 3)
 """
 ORACLE["p3_found"] = _P3 + "SELECT a.run_id, a.file_path FROM states a LEFT JOIN states b ON b.k = a.k - 1 AND b.file_path = a.file_path WHERE b.state IS NULL OR b.state <> a.state"
+ORACLE["p3_replayed"] = ORACLE["p3_found"]
 ORACLE["p3_run_summary"] = _P3 + """SELECT a.run_id, count(CASE WHEN b.state IS NULL THEN 1 END) AS n_added, count(CASE WHEN b.state <> a.state THEN 1 END) AS n_modified
 FROM states a LEFT JOIN states b ON b.k = a.k - 1 AND b.file_path = a.file_path WHERE b.state IS NULL OR b.state <> a.state GROUP BY 1"""
 ORACLE["p6_report"] = "WITH found AS (" + ORACLE["p6_found"] + """) SELECT f.side, f.reason, CAST(date_trunc('month', c.created_at) AS DATE) AS month, count(*) AS n_refs,
