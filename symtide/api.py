@@ -31,6 +31,12 @@ class Answer:
         return search.result_status(self.rows, self.total)
 
 
+def file_prints(symbols: DataFrame) -> DataFrame:
+    """(path, hash): the number of a file's symbols and the sum of the hashes of all their fields, so any change of any row shows."""
+    fields = [F.col(c) for c in symbols.columns if c not in ("bases", "name_lc", "qualified_name_lc")]
+    return symbols.groupBy(F.col("file").alias("path")).agg(F.concat_ws("/", F.count(F.lit(1)), F.sum(F.xxhash64(*fields).cast("decimal(38,0)"))).alias("hash"))
+
+
 class Project:
     """An indexed project over the tables of a directory."""
 
@@ -49,9 +55,9 @@ class Project:
 
     def sync_project(self, data: str | None = None, refresh_mode: str = "incremental") -> DataFrame:
         """Take in newer tables and give the files that changed; 'full' names every file."""
-        old = self.symbols.groupBy(F.col("file").alias("path")).agg(F.max(F.xxhash64("usr", "line", "signature", "updated_at").cast("string")).alias("hash"))
+        old = file_prints(self.symbols)
         self.set_project(data or self.data)
-        new = self.symbols.groupBy(F.col("file").alias("path")).agg(F.max(F.xxhash64("usr", "line", "signature", "updated_at").cast("string")).alias("hash"))
+        new = file_prints(self.symbols)
         return new.select("path", F.lit("refreshed").alias("change")) if refresh_mode == "full" else increments.change_set(old, new)
 
     @property

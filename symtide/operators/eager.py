@@ -12,7 +12,7 @@ repeated rows count each time; an empty table gives no row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import blank, materialize, skew_join
@@ -21,18 +21,21 @@ from ..session import blank, materialize, skew_join
 DOMINANT_PERCENT = 2
 
 
-def _sides(call_sites: DataFrame, *extra: str) -> DataFrame:
-    """Each call twice, once for either side: (side, usr, partner, ...)."""
-    pair = F.array(
-        F.struct(F.lit("caller").alias("side"), F.col("caller_usr").alias("usr"), F.col("callee_usr").alias("partner")),
-        F.struct(F.lit("callee").alias("side"), F.col("callee_usr").alias("usr"), F.col("caller_usr").alias("partner")),
-    )
-    return call_sites.select(F.explode(pair).alias("s"), *extra).select("s.*", *extra)
+def _full(c: str) -> Column:
+    return F.col(c).rlike(r"\S")
+
+
+def side_states(call_sites: DataFrame) -> DataFrame:
+    """(usr, n_caller, n_callee) of every key: the caller side and the callee side aggregated by key first, then their states joined."""
+    one = lambda c: call_sites.filter(_full(c)).groupBy(F.col(c).alias("usr")).agg(F.count(F.lit(1)).alias(f"n_{c.split('_')[0]}"))
+    met = one("caller_usr").join(one("callee_usr"), "usr", "full_outer")
+    return met.select("usr", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n_caller", "n_callee")))
 
 
 def key_states(call_sites: DataFrame) -> DataFrame:
-    """The compact state of every key of either side: (side, usr, n_sites)."""
-    return _sides(call_sites).filter(F.col("usr").rlike(r"\S")).groupBy("side", "usr").agg(F.count(F.lit(1)).alias("n_sites"))
+    """The compact state of every key of either side, rolled up from the joined states: (side, usr, n_sites)."""
+    pair = F.array(*(F.struct(F.lit(side).alias("side"), F.col(f"n_{side}").alias("n_sites")) for side in ("caller", "callee")))
+    return side_states(call_sites).select("usr", F.explode(pair).alias("s")).select("s.side", "usr", "s.n_sites").filter("n_sites > 0")
 
 
 def dominant_keys(call_sites: DataFrame, percent: int = DOMINANT_PERCENT) -> DataFrame:
@@ -42,17 +45,22 @@ def dominant_keys(call_sites: DataFrame, percent: int = DOMINANT_PERCENT) -> Dat
 
 
 def key_profile(call_sites: DataFrame, percent: int = DOMINANT_PERCENT) -> DataFrame:
-    """Per side and usr: sites, distinct partners, distinct files, and whether the key dominates."""
+    """Per side and usr: sites, distinct partners, distinct files, and whether the key dominates.
+
+    Both sides roll up from one table of (caller, callee, file) states; the distinct files of a
+    key come from its (key, file) states, so no set of files is ever held.
+    """
     total = call_sites.count()
-    sides = _sides(call_sites, "file").filter(F.col("usr").rlike(r"\S"))
-    # One state per (key, partner, file); its parts roll up by key from there.
-    states = materialize(sides.groupBy("side", "usr", "partner", "file").agg(F.count(F.lit(1)).alias("n")), "states")
-    keys = ["side", "usr"]
-    partners = states.groupBy(*keys, "partner").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n_sites"), F.count(F.when(~blank(F.col("partner")), 1)).alias("n_partners"))
-    files = states.filter(F.col("file").isNotNull()).select(*keys, "file").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"))
-    return partners.join(files, keys, "left").select(
-        *keys, "n_sites", "n_partners", F.coalesce("n_files", F.lit(0)).alias("n_files"), (F.col("n_sites") * 100 >= F.lit(percent * total)).alias("dominant")
-    )
+    states = materialize(call_sites.groupBy("caller_usr", "callee_usr", "file").agg(F.count(F.lit(1)).alias("n")), "states")
+
+    def side(name: str, usr: str, partner: str) -> DataFrame:
+        mine = states.filter(_full(usr))
+        partners = mine.groupBy(F.col(usr).alias("usr"), F.col(partner).alias("partner")).agg(F.sum("n").alias("n")).groupBy("usr").agg(F.sum("n").alias("n_sites"), F.count(F.when(~blank(F.col("partner")), 1)).alias("n_partners"))
+        files = mine.filter(F.col("file").isNotNull()).select(F.col(usr).alias("usr"), "file").distinct().groupBy("usr").agg(F.count(F.lit(1)).alias("n_files"))
+        met = partners.join(files, "usr", "left")
+        return met.select(F.lit(name).alias("side"), "usr", "n_sites", "n_partners", F.coalesce("n_files", F.lit(0)).alias("n_files"), (F.col("n_sites") * 100 >= F.lit(percent * total)).alias("dominant"))
+
+    return side("caller", "caller_usr", "callee_usr").unionByName(side("callee", "callee_usr", "caller_usr"))
 
 
 def eager_join_count(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Deeply nested semi-structured records to related flat tables.
 
 Method: Merkle subtree identities. Every object is canonicalised and hashed bottom
-up (its children stand in it as their hashes), identical objects are stored once,
+up (its children stand in it as their hashes), identical objects are stored once - a
+genInfo and the tools it names as well, which are objects of their own levels -
 and every occurrence is kept as a bridge row from parent to child with its ordinal
 and path.
 
@@ -17,6 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import json.decoder
+import json.scanner
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,22 +30,61 @@ from pyspark.sql import types as T
 
 TOOLS_KEY = "llm.prediction.tools"
 NODE_SCHEMA = "conv_id long, node_level string, node_path string, parent_path string, ordinal int, node_hash string, parent_hash string, body string"
-#: How many times a JSON text may be wrapped as a JSON string.
-WRAPPINGS = 4
+#: The levels of the flat tables; beside them the bridge has 'conversation' and 'gen_info'.
+LEVELS = ("message", "version", "step", "content", "tool")
+
+
+def _deep_decoder() -> json.JSONDecoder:
+    """A decoder without the depth limit of the C scanner: it recurses in Python only."""
+    d = json.JSONDecoder()
+    d.parse_object, d.parse_array = json.decoder.JSONObject, json.decoder.JSONArray
+    d.scan_once = json.scanner.py_make_scanner(d)
+    return d
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, 4 * len(text) + 1000))
+        try:
+            return _deep_decoder().decode(text)
+        finally:
+            sys.setrecursionlimit(limit)
+
+
+def canonical(x: object) -> str:
+    """JSON with sorted keys and no blanks, of any depth."""
+    try:
+        return json.dumps(x, sort_keys=True, separators=(",", ":"))
+    except RecursionError:
+        out, todo = [], [(False, x)]
+        while todo:
+            ready, y = todo.pop()
+            if ready:
+                out.append(y)
+            elif isinstance(y, dict) and y:
+                parts = [p for k in sorted(y) for p in ((True, ","), (True, json.dumps(k) + ":"), (False, y[k]))][1:]
+                todo += reversed([(True, "{"), *parts, (True, "}")])
+            elif isinstance(y, list) and y:
+                parts = [p for v in y for p in ((True, ","), (False, v))][1:]
+                todo += reversed([(True, "["), *parts, (True, "]")])
+            else:
+                out.append(json.dumps(y))
+        return "".join(out)
 
 
 def read_object(text: str | None) -> dict | None:
-    """The JSON object of an exported text, or None if it cannot be read."""
+    """The JSON object of an exported text, however deep and however often wrapped as a JSON string, or None if it cannot be read."""
     got: object = text
-    for _ in range(WRAPPINGS + 1):
-        if not isinstance(got, str):
-            break
+    while isinstance(got, str):
         t = got.strip()
-        while t.startswith("﻿"):
+        while t.startswith("\ufeff"):
             t = t[1:].lstrip()
         try:
-            got = json.loads(t)
-        except (ValueError, RecursionError):
+            got = _loads(t)
+        except ValueError:
             return None
     return got if isinstance(got, dict) else None
 
@@ -55,7 +98,7 @@ def _get(x: object, key: str) -> object:
 
 
 def _digest(x: object) -> str:
-    return hashlib.sha256(json.dumps(x, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:32]
+    return hashlib.sha256(canonical(x).encode()).hexdigest()[:32]
 
 
 class Flattener:
@@ -64,22 +107,22 @@ class Flattener:
     def __init__(self, with_bodies: bool):
         self.with_bodies, self.rows = with_bodies, []
 
-    def node(self, level: str, path: str, above: str, at: int, obj: dict, hashes: dict[str, list], more: dict[str, list] | None = None) -> str:
+    def node(self, level: str, path: str, above: str, at: int, obj: dict, hashes: dict[str, list]) -> str:
         """Emit ``obj``, where ``hashes`` stand for the objects of child lists, and give its identity.
 
         In ``#field`` an object's hash is a text and a plain element a list of that one element; a
-        field that is neither list nor object stays in place. ``more`` has lists that are no fields of their own.
+        field that is neither list nor object stays in place.
         """
         lists = {k: v for k, v in hashes.items() if isinstance(obj.get(k), list | dict)}
         small, names = {k: v for k, v in obj.items() if k not in lists}, []
-        for k, v in [*lists.items(), *(more or {}).items()]:
+        for k, v in lists.items():
             name = f"#{k}"
             while name in small:  # a field of the object itself
                 name = f"#{name}"
             small[name] = v
             names.append(name)
         own = _digest([level, small, names])
-        self.rows.append((level, path, above, at, own, json.dumps(small, sort_keys=True, separators=(",", ":")) if self.with_bodies else None))
+        self.rows.append((level, path, above, at, own, canonical(small) if self.with_bodies else None))
         return own
 
     def many(self, xs: list, level: str, above: str, fill) -> list:
@@ -94,13 +137,21 @@ class Flattener:
 
     def step(self, x, path, above, i):
         hashes = {"content": self.many(_list(x.get("content")), "content", path, self.content)}
-        tools = []
-        for f, field in enumerate(_list(_get(_get(_get(x, "genInfo"), "predictionConfig"), "fields"))):
-            if _get(field, "key") == TOOLS_KEY:
-                for t, tool in enumerate(_list(_get(_get(field, "value"), "tools"))):
-                    if isinstance(tool, dict):
-                        tools.append(self.node("tool", f"{path}/{f}/{t}", path, t, tool, {}))
-        return self.node("step", path, above, i, x, hashes, {"tools": tools} if tools else None)
+        if isinstance(x.get("genInfo"), dict):
+            hashes["genInfo"] = [self.gen_info(x["genInfo"], path)]
+        return self.node("step", path, above, i, x, hashes)
+
+    def gen_info(self, x: dict, path: str) -> str:
+        """A genInfo with the tools it names as objects of their own; its path is that of the step and ``g``."""
+        own, config = f"{path}/g", x.get("predictionConfig")
+        fields = _list(_get(config, "fields"))
+        for f, field in enumerate(fields):
+            value = _get(field, "value")
+            if _get(field, "key") == TOOLS_KEY and isinstance(_get(value, "tools"), list | dict):
+                found = [self.node("tool", f"{path}/{f}/{t}", own, t, tool, {}) if isinstance(tool, dict) else [tool] for t, tool in enumerate(_list(value["tools"]))]
+                fields = [*fields[:f], field | {"value": {k: v for k, v in value.items() if k != "tools"} | {"#tools": [found, "#tools" in value and value["#tools"]]}}, *fields[f + 1 :]]
+        small = x | {"predictionConfig": config | {"fields": fields}} if fields else x
+        return self.node("gen_info", own, path, 0, small, {})
 
     def version(self, x, path, above, i):
         hashes = {"steps": self.many(_list(x.get("steps")), "step", path, self.step)}

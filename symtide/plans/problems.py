@@ -74,7 +74,7 @@ def p3_run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     got = nested.nodes(table(spark, d, "lms_conversations"), with_bodies=False)
-    return got.filter(F.col("node_level") != "conversation").select("conv_id", "node_level", "node_path")
+    return got.filter(F.col("node_level").isin(*nested.LEVELS)).select("conv_id", "node_level", "node_path")
 
 
 def p5_bridge(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +87,13 @@ def p5_objects(spark: SparkSession, d: str) -> DataFrame:
     return nested.objects(nested.nodes(table(spark, d, "lms_conversations")))
 
 
+def p5_gen_info(spark: SparkSession, d: str) -> DataFrame:
+    """The genInfo of every step with its model and figures."""
+    got = nested.nodes(table(spark, d, "lms_conversations")).filter("node_level = 'gen_info'")
+    of = lambda path: F.get_json_object("body", path)
+    return got.select("conv_id", "node_path", "parent_path", "node_hash", of("$.identifier").alias("model"), of("$.stats.stopReason").alias("stop_reason"), of("$.stats.tokensPerSecond").try_cast("double").alias("tokens_per_second"), of("$.stats.promptTokensCount").try_cast("long").alias("prompt_tokens"))
+
+
 def p5_tools(spark: SparkSession, d: str) -> DataFrame:
     """The tools that genInfo names, linked to their step."""
     got = nested.nodes(table(spark, d, "lms_conversations")).filter("node_level = 'tool'")
@@ -111,7 +118,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return multivalue.split_values(rows).select("source_table", "record_key", "pos", "item")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p2_found, p2_profile, p2_two_step_chains, p2_kind_matrix, p3_found, p3_replayed, p3_run_summary, p5_found, p5_bridge, p5_objects, p5_tools, p6_found, p6_report, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p2_found, p2_profile, p2_two_step_chains, p2_kind_matrix, p3_found, p3_replayed, p3_run_summary, p5_found, p5_bridge, p5_objects, p5_gen_info, p5_tools, p6_found, p6_report, p7_found)}
 
 # --- SQL ------------------------------------------------------------------
 

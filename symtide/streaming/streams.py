@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relations import definition_wins
-from ..operators.store import Table, delete_where_in
+from ..operators.store import Table
 
 
 def follow(spark: SparkSession, sf_dir: str, name: str, files_at_once: int = 8) -> DataFrame:
@@ -35,12 +35,18 @@ def merge_symbols(spark: SparkSession, stream: DataFrame, store: Table, checkpoi
     return store.read()
 
 
-def replace_by_file(spark: SparkSession, stream: DataFrame, store: Table, checkpoint: str) -> DataFrame:
-    """Each batch replaces the call sites of the files it brings."""
+def replace_by_file(spark: SparkSession, stream: DataFrame, store: Table, checkpoint: str, version: str = "version", key: str = "file") -> DataFrame:
+    """The rows of each file's greatest ``version`` (a column of the stream): a newer delivery replaces a file whole.
+
+    A delivery may be spread over any number of batches, and come again: rows of the version a file already has
+    join it, older ones are left out.
+    """
 
     def put(batch: DataFrame, _: int) -> None:
-        kept = batch if store._pointer() is None else delete_where_in(store.read(), batch.select("file"), "file").unionByName(batch)
-        store.commit(kept)
+        rows = batch if store._pointer() is None else store.read().unionByName(batch)
+        newest = rows.groupBy(key).agg(F.max(version).alias("__v"))
+        met = rows.join(newest, key).filter(F.col(version).eqNullSafe(F.col("__v"))).drop("__v")
+        store.commit(met.select(*stream.columns).distinct())
 
     run_once(stream, put, checkpoint)
     return store.read()

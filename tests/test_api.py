@@ -51,6 +51,47 @@ def test_files_aliases_and_sync(project, data):
     assert project.sync_project(data).count() == 0 and project.sync_project(data, "full").count() > 0
 
 
+def test_sync_names_every_changed_file(spark, data, tmp_path):
+    """One symbol changed in each of 30 files, one file new and one gone."""
+    import shutil
+
+    old, new = tmp_path / "old", tmp_path / "new"
+    for d in (old, new):
+        d.mkdir()
+        for name in ("call_sites", "customer"):
+            shutil.copy(f"{data}/{name}.parquet", d / f"{name}.parquet")
+    base = spark.read.parquet(f"{data}/symbols.parquet").filter("usr IS NOT NULL").dropDuplicates(["usr"]).limit(300).withColumn("k", F.monotonically_increasing_id())
+    base = base.withColumn("file", F.concat(F.lit("f"), F.col("k") % 60, F.lit(".h")))
+    base.coalesce(1).write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    base.drop("k").write.parquet(str(old / "symbols.parquet"))
+    line = F.when((F.col("k") < 30), F.col("line") + 1).otherwise(F.col("line"))
+    file = F.when(F.col("file") == "f50.h", "f999.h").otherwise(F.col("file"))
+    base.withColumn("line", line).withColumn("file", file).drop("k").write.parquet(str(new / "symbols.parquet"))
+    p = Project(spark, str(old))
+    got = {r["path"]: r["change"] for r in p.sync_project(str(new)).collect()}
+    assert got == {f"f{i}.h": "modified" for i in range(30)} | {"f50.h": "removed", "f999.h": "added"}
+    assert p.sync_project(str(new)).count() == 0
+
+
+def test_a_delivery_spread_over_batches_stays_whole(spark, tmp_path):
+    from symtide.operators.store import Table
+    from symtide.session import scratch_path
+    from symtide.streaming import streams
+
+    src, table, point = str(tmp_path / "in"), Table(spark, scratch_path(spark, "sites")), str(tmp_path / "point")
+    put = lambda *rows: spark.createDataFrame(rows, "file string, line int, version long").coalesce(1).write.mode("append").parquet(src)
+    follow = lambda: spark.readStream.schema("file string, line int, version long").option("maxFilesPerTrigger", 1).parquet(src)
+    put(("a", 1, 1), ("b", 1, 1))
+    put(("a", 2, 1))
+    got = lambda: {tuple(r) for r in streams.replace_by_file(spark, follow(), table, point).collect()}
+    assert got() == {("a", 1, 1), ("a", 2, 1), ("b", 1, 1)}
+    put(("a", 9, 2))
+    put(("a", 8, 2), ("b", 7, 0))  # the second half of a's newer delivery, and an old one of b
+    put(("a", 9, 2))  # the same again
+    assert got() == {("a", 9, 2), ("a", 8, 2), ("b", 1, 1)}
+
+
 def test_bases_of_instantiations(spark):
     rows = [("p", ["T", "Fixed", "type-parameter-0-1"], None, None, ["T", "U"]), ("i", [], "p", ["int", "Foo"], None), ("j", ["Own"], "p", ["int"], None), ("k", None, "gone", None, None)]
     df = spark.createDataFrame(rows, "usr string, bases array<string>, primary_usr string, arguments array<string>, parameters array<string>")

@@ -27,7 +27,7 @@ def t(n):
 
 
 def found(df):
-    return {(r["conv_id"], r["node_level"], r["node_path"]) for r in df.filter("node_level <> 'conversation'").collect()}
+    return {(r["conv_id"], r["node_level"], r["node_path"]) for r in df.collect() if r["node_level"] in N.LEVELS}
 
 
 def test_positions_and_choice(spark, clash):
@@ -50,6 +50,9 @@ def test_identities(spark):
     objects = {(r["node_level"], r["node_hash"]): r["n_occurrences"] for r in N.objects(bridge).collect()}
     assert objects[("tool", a[("0/0/0/1/0", "tool")])] == 6
     up = {(r["node_path"], r["node_level"]): (r["parent_path"], r["parent_hash"]) for r in bridge.filter("conv_id = 1").collect()}
+    assert up[("0/0/0/g", "gen_info")] == ("0/0/0", a[("0/0/0", "step")]) and up[("0/0/0/1/0", "tool")] == ("0/0/0/g", a[("0/0/0/g", "gen_info")])
+    bodies = {r["node_level"]: r["body"] for r in N.objects(bridge).filter("node_level IN ('step', 'gen_info')").collect() if "genInfo" in r["body"] or r["node_level"] == "gen_info"}
+    assert '"f"' not in bodies["gen_info"] and '"x"' in bodies["gen_info"] and N.TOOLS_KEY not in bodies["step"]  # a tool is stored once, as a tool
     assert up[("0/0/-/0", "content")] == ("0/0", a[("0/0", "version")]) and up[("0", "message")] == ("", a[("", "conversation")])
 
 
@@ -70,6 +73,17 @@ def test_identities_without_bodies(spark):
     assert full == lean and all(h for h, _ in lean.values())
 
 
+def test_any_depth_and_wrapping(spark):
+    n, text = 60_000, json.dumps({"messages": [{}]})
+    for _ in range(9):
+        text = json.dumps(text)
+    deep = lambda leaf: '{"messages": [{"a": ' + "[" * n + leaf + "]" * n + "}]}"
+    rows = [(1, 1, t(1), deep("1")), (2, 2, t(1), deep("2")), (3, 3, t(1), deep("1")), (4, 4, t(1), text)]
+    got = {(r["conv_id"], r["node_level"]): r["node_hash"] for r in N.nodes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[(1, "message")] == got[(3, "message")] != got[(2, "message")] and (4, "message") in got
+    assert N.canonical(json.loads('{"b": [1, {}, []], "a": {"c": "\\u00e9"}}')) == '{"a":{"c":"\\u00e9"},"b":[1,{},[]]}'
+
+
 def test_long_and_deep(spark):
     deep = "[" * 100_000
     rows = [(1, 1, t(1), json.dumps({"messages": [{"versions": []}] * 3000, "x": "y" * 300_000})), (2, 2, t(1), deep), (3, 3, t(1), '{"messages": [{"a": "\\ud800"}]}')]
