@@ -45,12 +45,11 @@ class Project:
         self.set_project(data)
 
     def set_project(self, data: str) -> "Project":
-        """Load the tables of ``data``; the symbol table is resolved once (definition wins) and kept in the shared folder."""
+        """Take the tables of ``data``; the resolved symbols and the call and inheritance edges are maintained tables in the shared folder."""
         self.data = data
-        self.symbols = materialize(rel.symbols(self.spark, data), "symbols")
-        self.edges = materialize(rel.call_edges(self.spark, data), "edges")
+        self.symbols = rel.symbols(self.spark, data)
+        self.edges, self.pairs = rel.call_edges(self.spark, data), rel.call_pairs(self.spark, data)
         self.aliases = rel.aliases(self.spark, data)
-        self._inherits: DataFrame | None = None
         return self
 
     def sync_project(self, data: str | None = None, refresh_mode: str = "incremental") -> DataFrame:
@@ -62,9 +61,7 @@ class Project:
 
     @property
     def inherits(self) -> DataFrame:
-        if self._inherits is None:
-            self._inherits = materialize(graphs.inherits(self.symbols.filter(F.col("kind").isin(*rel.CLASS_KINDS))), "inherits")
-        return self._inherits
+        return rel.inherits(self.spark, self.data)
 
     # --- search
     def find_symbols_by_pattern(self, symbol_name: str = "", target_type: str = "all_symbol_types", output_detail_level: str = "full", search_scope: str = _PROJECT, file_name: str | None = None, namespace: str | None = None, max_results: int | None = None, class_name: str | None = None, signature: str | None = None) -> Answer:
@@ -127,20 +124,20 @@ class Project:
         """Callees, or with return_format 'call_sites' every site in order of file and line."""
         if return_format == "call_sites":
             targets = self._functions(function_name, class_name).withColumnRenamed("usr", "caller_usr")
-            rows = graphs.calls_of(self.edges.join(targets, "caller_usr", "left_semi"), self.symbols).orderBy("file", "line", "column_no")
+            rows = graphs.calls_of(self.edges.join(targets, "caller_usr", "left_semi")).orderBy("file", "line", "column_no")
             return Answer(rows if max_results is None else rows.limit(max_results), rows.count())
         return self._calls("caller_usr", "callee_usr", "callee", function_name, class_name, search_scope, max_results)
 
     def _calls(self, here: str, there: str, what: str, name: str, class_name: str | None, scope: str, k: int | None) -> Answer:
         only = project_only(scope)
-        mine = self.edges.join(self._functions(name, class_name).withColumnRenamed("usr", here), here, "left_semi")
-        every = materialize((graphs.callers if what == "caller" else graphs.callees)(mine, self.symbols), "calls")
+        mine = self.pairs.join(self._functions(name, class_name).withColumnRenamed("usr", here), here, "left_semi")
+        every = materialize((graphs.callers if what == "caller" else graphs.callees)(mine), "calls")
         rows = graphs.project_or_all(every, here) if only else every
         total = rows.count()
         return Answer(rows if k is None else rows.orderBy(f"{what}_name", there).limit(k), total)
 
     def trace_execution_path(self, source_function: str, target_function: str, max_depth: int = 10) -> list[list[str]]:
-        """One shortest path for each pair of functions that the two names mean."""
-        names = lambda n: [r[0] for r in self._functions(n, None).orderBy("usr").collect()]
-        got = (graphs.bfs_path(self.edges, a, b, "caller_usr", "callee_usr", max_depth) for a in names(source_function) for b in names(target_function))
-        return [p for p in got if p]
+        """One shortest path for each pair of functions that the two names mean, in order."""
+        node = lambda n: self._functions(n, None).withColumnRenamed("usr", "node")
+        got = graphs.bfs_paths(self.pairs, node(source_function), node(target_function), "caller_usr", "callee_usr", max_depth)
+        return [r["path"] for r in got.orderBy("source", "target").collect()]

@@ -6,6 +6,8 @@ to the shared folder, so lineage stays short and a lost executor costs one level
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +16,35 @@ from ..functions.usr import usr_display_name
 from ..session import hot_list, materialize, release, skew_join
 
 
-def callers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(callee_usr, caller_usr, caller_name, is_project): who calls what, names decoded where unknown."""
-    return _neighbours(edges, symbols, "callee_usr", "caller_usr", "caller")
+def known_callees(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``edges`` with ``callee_name`` and ``known``: whether the callee is a symbol of the index."""
+    known = symbols.select(F.col("usr").alias("callee_usr"), F.col("name").alias("callee_name"), F.lit(True).alias("known"))
+    edges = materialize(edges, "edges")
+    return skew_join(edges, known, "callee_usr", edges.count()).withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def named_pairs(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(caller_usr, callee_usr, n_sites, templated) with <end>_name, <end>_project and <end>_known of both ends; names decoded where unknown."""
+    pairs = materialize(edges.groupBy("caller_usr", "callee_usr").agg(F.count(F.lit(1)).alias("n_sites"), F.max("templated").alias("templated")), "pairs")
+    n = pairs.count()
+    for end in ("caller", "callee"):  # a hot end takes its symbol from a broadcast
+        known = symbols.select(F.col("usr").alias(f"{end}_usr"), F.col("qualified_name").alias("q"), F.col("is_project").alias("p"), F.lit(True).alias("k"))
+        met = skew_join(pairs, known, f"{end}_usr", n)
+        name = F.coalesce("q", usr_display_name(F.when(F.col("q").isNull(), F.col(f"{end}_usr"))))
+        pairs = met.withColumns({f"{end}_name": name, f"{end}_project": F.coalesce("p", F.lit(False)), f"{end}_known": F.coalesce("k", F.lit(False))}).drop("q", "p", "k")
+        pairs = materialize(pairs, "pairs")
+    return pairs
 
 
-def callees(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(caller_usr, callee_usr, callee_name, is_project)."""
-    return _neighbours(edges, symbols, "caller_usr", "callee_usr", "callee")
+def callers(pairs: DataFrame) -> DataFrame:
+    """(callee_usr, caller_usr, caller_name, is_project) of ``named_pairs``: who calls what."""
+    return pairs.select("callee_usr", "caller_usr", "caller_name", F.col("caller_project").alias("is_project"))
 
 
-def _neighbours(edges: DataFrame, symbols: DataFrame, here: str, there: str, what: str) -> DataFrame:
-    pairs = materialize(edges.select(here, there).distinct(), "pairs")
-    # Pairs are joined by the far end; a hot one takes its symbol from a broadcast.
-    known = symbols.select(F.col("usr").alias(there), "qualified_name", "is_project")
-    met = skew_join(pairs, known, there, pairs.count())
-    name = F.coalesce("qualified_name", usr_display_name(F.when(F.col("qualified_name").isNull(), F.col(there))))
-    return met.select(here, there, name.alias(f"{what}_name"), F.coalesce("is_project", F.lit(False)).alias("is_project"))
+def callees(pairs: DataFrame) -> DataFrame:
+    """(caller_usr, callee_usr, callee_name, is_project, origin): symbol, template (an unknown callee reached through a project type) or external."""
+    origin = F.when(F.col("callee_known"), "symbol").when(F.col("templated"), "template").otherwise("external")
+    return pairs.select("caller_usr", "callee_usr", "callee_name", F.col("callee_project").alias("is_project"), origin.alias("origin"))
 
 
 def project_or_all(neighbours: DataFrame, here: str) -> DataFrame:
@@ -40,11 +54,13 @@ def project_or_all(neighbours: DataFrame, here: str) -> DataFrame:
     return met.filter(F.col("is_project") | (F.col("__p") == 0)).withColumn("expanded", F.col("__p") == 0).drop("__p")
 
 
-def calls_of(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Every outgoing site whose callee is known, or external but reached through a template."""
-    known = symbols.select(F.col("usr").alias("callee_usr"), "name", F.lit(True).alias("known"))
-    met = skew_join(materialize(edges, "edges"), known, "callee_usr", edges.count())
-    return met.filter("known OR templated").select("caller_usr", "callee_usr", "file", "line", "column_no", F.coalesce("display_name", "name").alias("target"), F.coalesce("known", F.lit(False)).alias("known"))
+def calls_of(edges: DataFrame) -> DataFrame:
+    """Every outgoing site of ``known_callees`` whose callee is known, or external but reached through a template."""
+    return edges.filter("known OR templated").select("caller_usr", "callee_usr", "file", "line", "column_no", F.coalesce("display_name", "callee_name").alias("target"), "known")
+
+
+#: Written levels that a traversal reads side by side before it merges them.
+MERGE_LEVELS = 8
 
 
 def levels(edges: DataFrame, start: DataFrame, src: str, dst: str, max_depth: int | None = None) -> DataFrame:
@@ -53,39 +69,87 @@ def levels(edges: DataFrame, start: DataFrame, src: str, dst: str, max_depth: in
     n = hops.count()
     hubs = hot_list(hops, "node", n)
     frontier = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)), "level")
-    seen, depth = frontier, 0
+    parts, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = skew_join(hops, frontier.select("node"), "node", n, "inner", hot=hubs).select(F.col("next").alias("node")).distinct()
-        frontier = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        seen = reduce(DataFrame.unionByName, parts)
+        frontier = materialize(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)  # one written table per level, read side by side
-    return seen
+        parts.append(frontier)
+        if len(parts) > MERGE_LEVELS:
+            whole = materialize(reduce(DataFrame.unionByName, parts), "levels")
+            for part in parts[:-1]:
+                release(part)
+            parts = [whole]
+    release(hops)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def bfs_path(edges: DataFrame, source: str, target: str, src: str, dst: str, max_depth: int = 10) -> list[str] | None:
-    """One shortest path of at most ``max_depth`` - 1 edges, the lexicographically least parents; None if there is none."""
-    if source == target:
-        return [source]
+def _totals(pairs: DataFrame) -> tuple:
+    return tuple(pairs.agg(F.count(F.lit(1)), F.sum("depth")).first())
+
+
+def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(node, above, depth): every pair linked by one or more ``edges``, at the least distance; each round doubles the reach.
+
+    A node on a cycle stands above itself. The rounds grow with the logarithm of the depth.
+    """
+    pairs = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("above")).distinct().withColumn("depth", F.lit(1)), "closure")
+    before, now = None, _totals(pairs)
+    while now != before:
+        up = pairs.select(F.col("node").alias("above"), F.col("above").alias("top"), F.col("depth").alias("more"))
+        longer = pairs.join(up, "above").select("node", F.col("top").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
+        after = materialize(pairs.unionByName(longer).groupBy("node", "above").agg(F.min("depth").alias("depth")), "closure")
+        release(pairs)
+        pairs, before, now = after, now, _totals(after)
+    return pairs
+
+
+def bfs_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, src: str, dst: str, max_depth: int = 10) -> DataFrame:
+    """(source, target, path): of each source and target (node) one shortest path of at most ``max_depth`` - 1 edges.
+
+    All sources advance together, one join per level; a node keeps the path through the least of its parents. A
+    target is not passed through; a source that is a target gives the path of itself alone.
+    """
     hops = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct(), "hops")
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(source, None)], "node string, parent string")
-    frontier = seen
+    ends = materialize(targets.select("node").distinct().withColumn("end", F.lit(True)), "targets")
+    mark = lambda df: df.join(ends, "node", "left").select("source", "node", "path", F.coalesce("end", F.lit(False)).alias("end"))
+    start = sources.select("node").distinct()
+    frontier = materialize(mark(start.select(F.col("node").alias("source"), "node", F.array("node").alias("path"))), "level")
+    parts = [frontier]
     for _ in range(max_depth - 1):
-        step = frontier.select("node").filter(F.col("node") != target).join(hops, "node").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("parent"))
-        frontier = materialize(step.join(seen.select("node"), "node", "left_anti"), "level")
+        step = frontier.filter(~F.col("end")).join(hops, "node").groupBy("source", F.col("next").alias("node")).agg(F.min(F.struct(F.col("node").alias("parent"), "path")).alias("best"))
+        step = step.select("source", "node", F.concat("best.path", F.array("node")).alias("path"))
+        seen = reduce(DataFrame.unionByName, parts).select("source", "node")
+        frontier = materialize(mark(step.join(seen, ["source", "node"], "left_anti")), "level")
         if frontier.isEmpty():
-            return None
-        seen = materialize(seen.unionByName(frontier), "seen")
-        if not frontier.filter(F.col("node") == target).isEmpty():
             break
-    else:
-        return None
-    path = [target]
-    while path[-1] != source:  # one row per edge of a path of bounded length
-        path.append(seen.filter(F.col("node") == path[-1]).first()["parent"])
-    return path[::-1]
+        parts.append(frontier)
+    return reduce(DataFrame.unionByName, parts).filter("end").select("source", F.col("node").alias("target"), "path")
+
+
+def bfs_path(edges: DataFrame, source: str, target: str, src: str, dst: str, max_depth: int = 10) -> list[str] | None:
+    """``bfs_paths`` of one source and one target; None if there is none."""
+    one = lambda x: edges.sparkSession.createDataFrame([(x,)], "node string")
+    got = bfs_paths(edges, one(source), one(target), src, dst, max_depth).first()
+    return got["path"] if got else None
+
+
+def walk_counts(edges: DataFrame, src: str, dst: str, max_depth: int) -> DataFrame:
+    """(node, depth, n): how many walks of each length start at each node, cycles unrolled; counts are multiplied, no walk is made."""
+    hops = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct(), "hops")
+    total, parts = hops.count(), []
+    hubs = hot_list(hops, "next", total)
+    for k in range(1, max_depth + 1):
+        if parts:
+            ahead = parts[-1].select(F.col("node").alias("next"), "n")
+            one = skew_join(hops, ahead, "next", total, "inner", hot=hubs)
+        else:
+            one = hops.withColumn("n", F.lit(1).cast("long"))
+        parts.append(materialize(one.groupBy("node").agg(F.sum("n").alias("n")).withColumn("depth", F.lit(k)), "walks"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def walks(edges: DataFrame, sources: DataFrame, src: str, dst: str, max_depth: int) -> DataFrame:
@@ -137,32 +201,45 @@ def hierarchy(edges: DataFrame, start: DataFrame, direction: str, max_depth: int
     return up.unionByName(down.join(up.select("node"), "node", "left_anti"))
 
 
+def hierarchies_of(ancestry: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
+    """(start, node, depth, direction): ``hierarchy`` of every one of ``nodes`` (node), each from itself, out of the closure ``ancestry``."""
+    own = nodes.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
+    up = ancestry.filter(F.col("node") != F.col("above")).select(F.col("node").alias("start"), F.col("above").alias("node"), "depth")
+    down = ancestry.filter(F.col("node") != F.col("above")).select(F.col("above").alias("start"), "node", "depth")
+    if direction != "both":
+        return own.unionByName((up if direction == "up" else down).join(own.select("start"), "start", "left_semi")).withColumn("direction", F.lit(direction))
+    # What stands above is taken already: only nodes of a cycle are above and below at once.
+    loose = ancestry.filter(F.col("node") == F.col("above")).select(F.col("node").alias("start"))
+    twice = down.join(loose, "start", "left_semi").join(up.select("start", "node"), ["start", "node"], "left_anti")
+    below = down.join(loose, "start", "left_anti").unionByName(twice)
+    return own.unionByName(up.join(own.select("start"), "start", "left_semi")).withColumn("direction", F.lit("up")).unionByName(below.join(own.select("start"), "start", "left_semi").withColumn("direction", F.lit("down")))
+
+
 def capped(nodes: DataFrame, max_nodes: int) -> tuple[DataFrame, DataFrame]:
     """The first ``max_nodes`` of a hierarchy by (depth, node), and one row that tells whether more remain."""
     top = nodes.orderBy("depth", "node").limit(max_nodes)
     return top, nodes.agg((F.count(F.lit(1)) > max_nodes).alias("truncated"))
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, ancestry: DataFrame | None = None) -> DataFrame:
     """(node, level): bases before derived; nodes on or below cycles get level -1.
 
-    Kahn's peeling, one join per level: a node comes once all its bases have.
+    The level is the longest way up. It comes from the closure of the edges (``ancestry``, if it is at hand): each round
+    doubles the length of the ways compared, so the rounds grow with the logarithm of the depth.
     """
-    inner = materialize(edges.filter("base_usr IS NOT NULL").select(F.col("derived_usr").alias("node"), F.col("base_usr").alias("base")).distinct(), "inner")
-    n = inner.count()
-    hubs = hot_list(inner, "base", n)
-    state, level = materialize(nodes.select("node", F.lit(None).cast("int").alias("level")).distinct(), "order"), 0
-    while True:
-        waiting = state.filter("level IS NULL").select(F.col("node").alias("base"))
-        blocked = skew_join(inner, waiting, "base", n, "inner", hot=hubs).select("node", F.lit(True).alias("blocked")).distinct()
-        turn = F.when(F.col("level").isNull() & F.col("blocked").isNull(), F.lit(level)).otherwise(F.col("level"))
-        after = materialize(state.join(blocked, "node", "left").select("node", turn.alias("level")), "order")
-        release(state)
-        state = after
-        if state.filter(F.col("level") == level).isEmpty():
-            break
-        level += 1
-    return state.select("node", F.coalesce("level", F.lit(-1)).alias("level"))
+    pairs = ancestry if ancestry is not None else closure(edges.filter("base_usr IS NOT NULL"), "derived_usr", "base_usr")
+    loop = materialize(pairs.filter(F.col("node") == F.col("above")).select("node"), "loops")
+    bad = materialize(pairs.join(loop.select(F.col("node").alias("above")), "above", "left_semi").select("node").distinct(), "loops")
+    far = materialize(pairs.join(bad, "node", "left_anti").select("node", "above", "depth"), "far")
+    before, now = None, _totals(far)
+    while now != before:
+        up = far.select(F.col("node").alias("above"), F.col("above").alias("top"), F.col("depth").alias("more"))
+        longer = far.join(up, "above").select("node", F.col("top").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
+        after = materialize(far.unionByName(longer).groupBy("node", "above").agg(F.max("depth").alias("depth")), "far")
+        release(far)
+        far, before, now = after, now, _totals(after)
+    deep = far.groupBy("node").agg(F.max("depth").alias("level")).unionByName(bad.select("node", F.lit(-1).alias("level")))
+    return nodes.select("node").distinct().join(deep, "node", "left").select("node", F.coalesce("level", F.lit(0)).cast("int").alias("level"))
 
 
 def parameter_bases(templates: DataFrame) -> DataFrame:
@@ -176,12 +253,12 @@ def inherited_through(refs: DataFrame, templates: DataFrame) -> DataFrame:
     return refs.join(parameter_bases(templates).withColumnRenamed("name", "template"), "template").select("derived", F.get("args", F.col("index")).alias("base")).filter("base IS NOT NULL")
 
 
-def declarations(nodes: DataFrame, edges: DataFrame, with_meta: bool = False) -> DataFrame:
+def declarations(nodes: DataFrame, edges: DataFrame, with_meta: bool = False, ancestry: DataFrame | None = None) -> DataFrame:
     """(level, name, line): one C++-like declaration per class, to be read in order of level and name.
 
     ``nodes`` has node (usr), name, kind, is_project.
     """
-    order = topological_levels(nodes, edges)
+    order = topological_levels(nodes, edges, ancestry)
     bases = edges.groupBy(F.col("derived_usr").alias("node")).agg(F.array_sort(F.collect_list(F.struct("pos", "base_raw"))).alias("b"))
     text = F.concat(F.lit("class "), F.col("name"), F.when(F.size("b") > 0, F.concat(F.lit(": "), F.array_join(F.transform("b", lambda x: F.concat(F.lit("public "), x["base_raw"])), ", "))).otherwise(""), F.lit(" {};"))
     if with_meta:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import base_list
-from ..session import table
+from ..functions.patterns import last_component, tidy
+from ..session import maintained, table
 
 CLASS_KINDS = ("class", "struct", "class_template")
 FUNCTION_KINDS = ("function", "method", "function_template")
@@ -44,9 +45,15 @@ def all_symbols(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbols").select("usr", *_COLUMNS)
 
 
+def resolved(rows: DataFrame) -> DataFrame:
+    """One row per usr, with the list of bases and the lower-case names that searches look up."""
+    names = {"bases": base_list(F.col("base_classes")), "name_lc": F.lower("name"), "qualified_name_lc": F.lower("qualified_name"), "last_lc": last_component(F.lower(tidy("qualified_name")))}
+    return definition_wins(rows).withColumns(names)
+
+
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    """The index proper: one row per usr, with the list of bases and lower-case names at hand."""
-    return definition_wins(all_symbols(spark, d)).withColumns({"bases": base_list(F.col("base_classes")), "name_lc": F.lower("name"), "qualified_name_lc": F.lower("qualified_name")})
+    """The index proper, a maintained table in ranges of the last name component, so a look-up reads few row groups."""
+    return maintained(spark, d, "symbols", ("symbols",), lambda: resolved(all_symbols(spark, d)).repartitionByRange("last_lc", "usr").sortWithinPartitions("last_lc", "usr"))
 
 
 def classes(spark: SparkSession, d: str) -> DataFrame:
@@ -57,16 +64,38 @@ def functions(spark: SparkSession, d: str) -> DataFrame:
     return symbols(spark, d).filter(F.col("kind").isin(*FUNCTION_KINDS))
 
 
-def call_edges(spark: SparkSession, d: str) -> DataFrame:
+def distinct_sites(call_sites: DataFrame) -> DataFrame:
     """Call sites once per caller, callee, file, line and column."""
     return (
-        table(spark, d, "call_sites")
-        .filter(F.col("caller_usr").rlike(r"\S") & F.col("callee_usr").rlike(r"\S"))
+        call_sites.filter(F.col("caller_usr").rlike(r"\S") & F.col("callee_usr").rlike(r"\S"))
         .groupBy("caller_usr", "callee_usr", "file", "line", "column_no")
         .agg(F.max("display_name").alias("display_name"), F.max(F.coalesce(F.size("template_project_types") > 0, F.lit(False))).alias("templated"))
     )
 
 
+def call_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct call site with what is known of its callee; a maintained table in order of callers."""
+    build = lambda: graphs.known_callees(distinct_sites(table(spark, d, "call_sites")), symbols(spark, d)).repartitionByRange("caller_usr", "callee_usr", "file", "line").sortWithinPartitions("caller_usr", "file", "line")
+    return maintained(spark, d, "edges", ("call_sites", "symbols"), build)
+
+
+def call_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every caller and callee once, with the names and scopes of both ends; a maintained table in order of callees."""
+    build = lambda: graphs.named_pairs(call_edges(spark, d), symbols(spark, d)).repartitionByRange("callee_usr", "caller_usr").sortWithinPartitions("callee_usr", "caller_usr")
+    return maintained(spark, d, "pairs", ("call_sites", "symbols"), build)
+
+
+def inherits(spark: SparkSession, d: str) -> DataFrame:
+    """The inheritance edges of all classes, a maintained table."""
+    return maintained(spark, d, "inherits", ("symbols",), lambda: graphs.inherits(classes(spark, d)).repartitionByRange("derived_usr").sortWithinPartitions("derived_usr"))
+
+
+def ancestry(spark: SparkSession, d: str) -> DataFrame:
+    """(node, above, depth): every class with all classes above it, a maintained table."""
+    build = lambda: graphs.closure(inherits(spark, d).filter("base_usr IS NOT NULL"), "derived_usr", "base_usr").repartitionByRange("node", "above").sortWithinPartitions("node")
+    return maintained(spark, d, "ancestry", ("symbols",), build)
+
+
 def aliases(spark: SparkSession, d: str) -> DataFrame:
     """Type aliases: many alias names for each canonical type."""
     c = table(spark, d, "customer")
@@ -80,9 +109,9 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def includes(spark: SparkSession, d: str) -> DataFrame:
-    """Include edges between files, each once."""
-    o = table(spark, d, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 11 == 0))
-    e = o.select(F.concat(F.lit("f"), F.col("o_custkey") % 200, F.lit(".h")).alias("source_file"), F.concat(F.lit("f"), F.col("o_orderkey") % 200, F.lit(".h")).alias("included_file"))
+    """Include edges between files, each once; as many files as there are customers and tens of orders."""
+    o = table(spark, d, "orders")
+    e = o.select(F.concat(F.lit("f"), "o_custkey", F.lit(".h")).alias("source_file"), F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / 4), F.lit(".h")).alias("included_file"))
     return e.filter(F.col("source_file") != F.col("included_file")).distinct()
 
 
@@ -109,6 +138,7 @@ EDGES = r"""edges AS (SELECT caller_usr, callee_usr, file, line, column_no, max(
  FROM call_sites WHERE regexp_matches(caller_usr, '\S') AND regexp_matches(callee_usr, '\S') GROUP BY ALL)"""
 ALIASES = """aliases AS (SELECT 'Alias_' || c_custkey AS alias_name, 'ns' || (c_custkey % 7) || '::Alias_' || c_custkey AS qualified_name, 'app::Type_' || c_nationkey AS canonical_type,
  CASE WHEN c_custkey % 3 = 0 THEN 'typedef' ELSE 'using' END AS alias_kind, 'src/' || c_mktsegment || '.h' AS file FROM customer)"""
-INCLUDES = """includes AS (SELECT DISTINCT * FROM (SELECT 'f' || (o_custkey % 200) || '.h' AS source_file, 'f' || (o_orderkey % 200) || '.h' AS included_file FROM orders
- WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 11 = 0) WHERE source_file <> included_file)"""
+INCLUDES = "includes AS (SELECT DISTINCT * FROM (SELECT 'f' || o_custkey || '.h' AS source_file, 'f' || (o_orderkey // 4) || '.h' AS included_file FROM orders) WHERE source_file <> included_file)"
 CALLS = "calls AS (SELECT event_id AS call_id, event_type AS tool, user_id AS session, ts, CAST(CASE WHEN value < 5 THEN 0 ELSE floor(value) END AS BIGINT) AS result_count, value AS wall FROM events)"
+
+from . import graphs  # noqa: E402  (graphs needs none of this module)

@@ -67,20 +67,27 @@ def _limited(df: DataFrame, q: Criteria) -> DataFrame:
     return df if q.max_results is None else df.orderBy("qualified_name", "usr").limit(q.max_results)
 
 
+def _narrow(df: DataFrame, q: Criteria) -> DataFrame:
+    """Rows whose last name component is that of the pattern, by a plain comparison that reaches the scan; all where that cannot be said."""
+    if not q.pattern or patterns.pattern_type(q.pattern) == "regex" or "last_lc" not in df.columns:
+        return df
+    return df.filter(F.col("last_lc") == patterns.tidy_text(q.pattern).lower().rsplit("::", 1)[-1])
+
+
 def search_classes(symbols: DataFrame, q: Criteria) -> DataFrame:
-    return _limited(symbols.filter(class_filter(q)), q)
+    return _limited(_narrow(symbols, q).filter(class_filter(q)), q)
 
 
 def search_functions(symbols: DataFrame, q: Criteria, all_rows: DataFrame | None = None) -> DataFrame:
     """Functions that match; with a file filter and ``all_rows`` also superseded declarations."""
     src = all_rows if q.file_name and all_rows is not None else symbols
-    return _limited(src.filter(function_filter(q)), q)
+    return _limited(_narrow(src, q).filter(function_filter(q)), q)
 
 
 def search_symbols(symbols: DataFrame, q: Criteria) -> DataFrame:
     """Classes first, then functions, ``max_results`` over both: a top-k by (section, name, usr)."""
     section = F.when(class_filter(q), 0).when(function_filter(q), 1)
-    hits = symbols.withColumn("section", section).filter("section IS NOT NULL")
+    hits = _narrow(symbols, q).withColumn("section", section).filter("section IS NOT NULL")
     return hits if q.max_results is None else hits.orderBy("section", "qualified_name", "usr").limit(q.max_results)
 
 

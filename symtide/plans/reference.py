@@ -79,9 +79,9 @@ def search_symbols_limit(s: SparkSession, d: str) -> DataFrame:
     return search.search_symbols(rel.symbols(s, d), Criteria(".*Token.*", max_results=25)).select("usr", "qualified_name", "section")
 
 
-@query(f"WITH {SYM} SELECT usr, file, header_file FROM sym WHERE ends_with(file, '/task_bridge.h') OR file = 'task_bridge.h' OR ends_with(header_file, '/task_bridge.h') OR header_file = 'task_bridge.h' OR false")
+@query(f"WITH {SYM} SELECT usr, file, header_file FROM sym WHERE ends_with(file, '/record_loader_0.cxx') OR file = 'record_loader_0.cxx' OR coalesce(ends_with(header_file, '/record_loader_0.cxx'), false) OR coalesce(header_file = 'record_loader_0.cxx', false)")
 def find_in_file_suffix(s: SparkSession, d: str) -> DataFrame:
-    return search.find_in_file(rel.symbols(s, d), "task_bridge.h", Criteria()).select("usr", "file", "header_file")
+    return search.find_in_file(rel.symbols(s, d), "record_loader_0.cxx", Criteria()).select("usr", "file", "header_file")
 
 
 @query(f"WITH {SYM} SELECT usr, file FROM sym WHERE regexp_matches(file, '^(.*/)?[^\\n]*core1/[^\\n]*[.]h$') OR coalesce(regexp_matches(header_file, '^(.*/)?[^\\n]*core1/[^\\n]*[.]h$'), false)")
@@ -198,12 +198,12 @@ def search_status(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SYM}, {EDGES} SELECT DISTINCT e.callee_usr, e.caller_usr, coalesce(s.is_project, false) AS is_project FROM edges e LEFT JOIN sym s ON s.usr = e.caller_usr")
 def callers(s: SparkSession, d: str) -> DataFrame:
-    return graphs.callers(rel.call_edges(s, d), rel.symbols(s, d)).drop("caller_name")
+    return graphs.callers(rel.call_pairs(s, d)).drop("caller_name")
 
 
 @query(f"WITH {SYM}, {EDGES} SELECT e.caller_usr, count(DISTINCT e.callee_usr) AS n_callees, count(DISTINCT CASE WHEN s.is_project THEN e.callee_usr END) AS n_project FROM edges e LEFT JOIN sym s ON s.usr = e.callee_usr GROUP BY 1")
 def callee_counts(s: SparkSession, d: str) -> DataFrame:
-    got = graphs.callees(rel.call_edges(s, d), rel.symbols(s, d))
+    got = graphs.callees(rel.call_pairs(s, d))
     return got.groupBy("caller_usr").agg(F.count(F.lit(1)).alias("n_callees"), F.count(F.when(F.col("is_project"), 1)).alias("n_project"))
 
 
@@ -211,14 +211,13 @@ def callee_counts(s: SparkSession, d: str) -> DataFrame:
  h AS (SELECT callee_usr, bool_or(is_project) AS p FROM c GROUP BY 1) SELECT c.callee_usr, c.caller_usr, NOT h.p AS expanded FROM c JOIN h USING (callee_usr) WHERE c.is_project OR NOT h.p""")
 def callers_autoexpand(s: SparkSession, d: str) -> DataFrame:
     """Project callers; all callers where the project has none."""
-    got = materialize(graphs.callers(rel.call_edges(s, d), rel.symbols(s, d)), "callers")
-    return graphs.project_or_all(got, "callee_usr").select("callee_usr", "caller_usr", "expanded")
+    return graphs.project_or_all(graphs.callers(rel.call_pairs(s, d)), "callee_usr").select("callee_usr", "caller_usr", "expanded")
 
 
 @query(f"""WITH {SYM}, {EDGES} SELECT e.caller_usr, e.callee_usr, e.file, e.line, e.column_no, coalesce(e.display_name, s.name) AS target, s.usr IS NOT NULL AS known
  FROM edges e LEFT JOIN sym s ON s.usr = e.callee_usr WHERE s.usr IS NOT NULL OR e.templated""")
 def outgoing_sites(s: SparkSession, d: str) -> DataFrame:
-    return graphs.calls_of(rel.call_edges(s, d), rel.symbols(s, d))
+    return graphs.calls_of(rel.call_edges(s, d))
 
 
 @query("""SELECT callee_usr, arg_min(call_site_id, (file, line, call_site_id)) AS first_site, count(*) AS n FROM call_sites WHERE len(template_project_types) > 0 AND callee_usr IS NOT NULL GROUP BY 1""")
@@ -231,19 +230,30 @@ _START = "c:@N@vtest@F@run_all_cases#*1C#"
 
 
 @query(f"""WITH RECURSIVE {EDGES}, hops AS (SELECT DISTINCT caller_usr AS a, callee_usr AS b FROM edges),
- r AS (SELECT '{_START}' AS node, 0 AS depth UNION SELECT h.b, r.depth + 1 FROM r JOIN hops h ON h.a = r.node WHERE r.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
+ r(node, depth) USING KEY (node) AS (SELECT '{_START}', 0 UNION (SELECT h.b, min(r.depth + 1) FROM r JOIN hops h ON h.a = r.node LEFT JOIN recurring.r AS x ON x.node = h.b WHERE x.depth IS NULL GROUP BY 1))
+ SELECT node, CAST(depth AS INTEGER) AS depth FROM r""")
 def call_path_levels(s: SparkSession, d: str) -> DataFrame:
+    """Everything that one entry point reaches, at any depth."""
     start = s.createDataFrame([(_START,)], "node string")
-    return graphs.levels(rel.call_edges(s, d), start, "caller_usr", "callee_usr", 3)
+    return graphs.levels(rel.call_pairs(s, d), start, "caller_usr", "callee_usr")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, hops AS (SELECT DISTINCT caller_usr AS a, callee_usr AS b FROM edges),
- st AS (SELECT a AS node FROM hops WHERE contains(a, '@core0@S@Task')), w AS (SELECT DISTINCT node AS source, node, 0 AS depth, node AS path FROM st
- UNION ALL SELECT w.source, h.b, w.depth + 1, w.path || ' > ' || h.b FROM w JOIN hops h ON h.a = w.node WHERE w.depth < 3) SELECT source, node, CAST(depth AS INTEGER) AS depth, path FROM w""")
+@query(f"""WITH RECURSIVE {EDGES}, {FUN}, hops AS (SELECT DISTINCT caller_usr AS a, callee_usr AS b FROM edges), goal AS (SELECT DISTINCT usr FROM fun WHERE is_project AND kind = 'method'),
+ r(node, depth, path) USING KEY (node) AS (SELECT '{_START}', 0, ['{_START}'] UNION (SELECT h.b, min(r.depth + 1), arg_min(list_append(r.path, h.b), r.node) FROM r JOIN hops h ON h.a = r.node LEFT JOIN recurring.r AS x ON x.node = h.b
+  WHERE x.depth IS NULL AND r.depth < 9 AND r.node NOT IN (SELECT usr FROM goal) GROUP BY 1)) SELECT node AS target, array_to_string(path, ' > ') AS path FROM r WHERE node IN (SELECT usr FROM goal)""")
+def call_paths(s: SparkSession, d: str) -> DataFrame:
+    """One shortest path from an entry point to each project method it reaches first, the least parents taken."""
+    goal = rel.functions(s, d).filter("is_project AND kind = 'method'").select(F.col("usr").alias("node"))
+    got = graphs.bfs_paths(rel.call_pairs(s, d), s.createDataFrame([(_START,)], "node string"), goal, "caller_usr", "callee_usr")
+    return got.select("target", F.array_join("path", " > ").alias("path"))
+
+
+@query(f"""WITH {EDGES}, hops AS (SELECT DISTINCT caller_usr AS a, callee_usr AS b FROM edges), w1 AS (SELECT a AS node, count(*) AS n FROM hops GROUP BY 1), w2 AS (SELECT h.a AS node, sum(w.n) AS n FROM hops h JOIN w1 w ON w.node = h.b GROUP BY 1),
+ w3 AS (SELECT h.a AS node, sum(w.n) AS n FROM hops h JOIN w2 w ON w.node = h.b GROUP BY 1), w4 AS (SELECT h.a AS node, sum(w.n) AS n FROM hops h JOIN w3 w ON w.node = h.b GROUP BY 1)
+ SELECT node, 1 AS depth, CAST(n AS BIGINT) AS n FROM w1 UNION ALL SELECT node, 2, CAST(n AS BIGINT) FROM w2 UNION ALL SELECT node, 3, CAST(n AS BIGINT) FROM w3 UNION ALL SELECT node, 4, CAST(n AS BIGINT) FROM w4""")
 def call_walks(s: SparkSession, d: str) -> DataFrame:
-    e = materialize(rel.call_edges(s, d).select("caller_usr", "callee_usr").distinct(), "hops")
-    start = e.filter(F.col("caller_usr").contains("@core0@S@Task")).select(F.col("caller_usr").alias("node")).distinct()
-    return graphs.walks(e, start, "caller_usr", "callee_usr", 3)
+    """The walks of up to four calls from every caller, counted."""
+    return graphs.walk_counts(rel.call_pairs(s, d), "caller_usr", "callee_usr", 4)
 
 
 @query(f"""WITH {EDGES}, p AS (SELECT caller_usr, callee_usr, count(*) AS n FROM edges GROUP BY 1, 2)
@@ -269,7 +279,7 @@ _INH = CLS + r""", refs AS (SELECT usr AS derived_usr, qualified_name AS derived
 
 
 def _inherits(s: SparkSession, d: str) -> DataFrame:
-    return materialize(graphs.inherits(materialize(rel.classes(s, d), "classes")), "inherits")
+    return rel.inherits(s, d)
 
 
 @query(f"WITH {_INH} SELECT * FROM inh")
@@ -287,45 +297,53 @@ def unresolved_bases(s: SparkSession, d: str) -> DataFrame:
     return _inherits(s, d).filter("base_usr IS NULL").select("base_raw").distinct()
 
 
-_ROOTS = "contains(derived_usr, '@N@core0@S@T')"
-_UP = "up AS (SELECT DISTINCT derived_usr AS node, 0 AS depth FROM inh WHERE {0} UNION SELECT i.base_usr, up.depth + 1 FROM up JOIN inh i ON i.derived_usr = up.node WHERE i.base_usr IS NOT NULL AND up.depth < 6)"
-_DOWN = "down AS (SELECT DISTINCT derived_usr AS node, 0 AS depth FROM inh WHERE {0} UNION SELECT i.derived_usr, down.depth + 1 FROM down JOIN inh i ON i.base_usr = down.node WHERE down.depth < 6)"
+#: Every class and each class above it, at the least distance.
+_ABOVE = """real AS (SELECT DISTINCT derived_usr AS a, base_usr AS b FROM inh WHERE base_usr IS NOT NULL),
+ up(start, node, depth) USING KEY (start, node) AS (SELECT usr, usr, 0 FROM cls UNION (SELECT up.start, e.b, min(up.depth + 1) FROM up JOIN real e ON e.a = up.node LEFT JOIN recurring.up AS x ON x.start = up.start AND x.node = e.b WHERE x.depth IS NULL GROUP BY 1, 2))"""
+_PAIR = "start, node, CAST(depth AS INTEGER) AS depth"
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    return edges.filter(F.col("derived_usr").contains("@N@core0@S@T")).select(F.col("derived_usr").alias("node")).distinct()
+def _hierarchies(s: SparkSession, d: str, direction: str) -> DataFrame:
+    return graphs.hierarchies_of(rel.ancestry(s, d), rel.classes(s, d).select(F.col("usr").alias("node")), direction)
 
 
-@query(f"WITH RECURSIVE {_INH}, {_UP.format(_ROOTS)} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM up GROUP BY node")
+@query(f"WITH RECURSIVE {_INH}, {_ABOVE} SELECT {_PAIR} FROM up")
 def hierarchy_up(s: SparkSession, d: str) -> DataFrame:
-    e = _inherits(s, d)
-    return graphs.hierarchy(e, _roots(e), "up", 6).drop("direction")
+    """Every class with all classes above it."""
+    return _hierarchies(s, d, "up").drop("direction")
 
 
-@query(f"WITH RECURSIVE {_INH}, {_DOWN.format(_ROOTS)} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM down GROUP BY node")
+@query(f"WITH RECURSIVE {_INH}, {_ABOVE} SELECT node AS start, start AS node, CAST(depth AS INTEGER) AS depth FROM up")
 def hierarchy_down(s: SparkSession, d: str) -> DataFrame:
-    e = _inherits(s, d)
-    return graphs.hierarchy(e, _roots(e), "down", 6).drop("direction")
+    """Every class with all classes below it."""
+    return _hierarchies(s, d, "down").drop("direction")
 
 
-@query(f"""WITH RECURSIVE {_INH}, {_UP.format(_ROOTS)}, {_DOWN.format(_ROOTS)} SELECT node, CAST(min(depth) AS INTEGER) AS depth, 'up' AS direction FROM up GROUP BY node
- UNION ALL SELECT node, CAST(min(depth) AS INTEGER), 'down' FROM down WHERE node NOT IN (SELECT node FROM up) GROUP BY node""")
+@query(f"""WITH RECURSIVE {_INH}, {_ABOVE} SELECT {_PAIR}, 'up' AS direction FROM up
+ UNION ALL SELECT d.node, d.start, CAST(d.depth AS INTEGER), 'down' FROM up d LEFT JOIN up u ON u.start = d.node AND u.node = d.start WHERE u.start IS NULL""")
 def hierarchy_both(s: SparkSession, d: str) -> DataFrame:
-    e = _inherits(s, d)
-    return graphs.hierarchy(e, _roots(e), "both", 6)
+    """Every class with all classes above and below it, siblings left out."""
+    return _hierarchies(s, d, "both")
 
 
-@query()
+#: Longest ways up among the classes that neither lie on a cycle nor below one.
+_LEVELS = """lvl AS (SELECT usr AS node, CASE WHEN usr IN (SELECT u.start FROM up u JOIN real e ON e.a = u.node JOIN up v ON v.start = e.b AND v.node = u.node) THEN -1 END AS bad FROM cls),
+ far(node, depth) AS (SELECT node, 0 FROM lvl WHERE bad IS NULL UNION SELECT e.a, far.depth + 1 FROM far JOIN real e ON e.b = far.node JOIN lvl l ON l.node = e.a AND l.bad IS NULL),
+ topo AS (SELECT l.node, CAST(coalesce(l.bad, max(f.depth)) AS INTEGER) AS level FROM lvl l LEFT JOIN far f USING (node) GROUP BY l.node, l.bad)"""
+
+
+@query(f"WITH RECURSIVE {_INH}, {_ABOVE}, {_LEVELS} SELECT * FROM topo")
 def topological_levels(s: SparkSession, d: str) -> DataFrame:
     """Bases before derived; -1 on and below cycles."""
-    c = materialize(rel.classes(s, d), "classes")
-    return graphs.topological_levels(c.select(F.col("usr").alias("node")), graphs.inherits(c))
+    return graphs.topological_levels(rel.classes(s, d).select(F.col("usr").alias("node")), rel.inherits(s, d), rel.ancestry(s, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_INH}, {_ABOVE}, {_LEVELS}, b AS (SELECT derived_usr AS node, 'public ' || string_agg(base_raw, ', public ' ORDER BY pos) AS bs FROM inh GROUP BY 1)
+ SELECT t.level, c.qualified_name AS name, 'class ' || c.qualified_name || CASE WHEN b.bs IS NOT NULL THEN ': ' || b.bs ELSE '' END || ' {{}};  // kind: ' || c.kind || ', project: ' || CAST(c.is_project AS VARCHAR) AS line
+ FROM cls c JOIN topo t ON t.node = c.usr LEFT JOIN b ON b.node = c.usr""")
 def class_declarations(s: SparkSession, d: str) -> DataFrame:
-    c = materialize(rel.classes(s, d), "classes")
-    return graphs.declarations(c.select(F.col("usr").alias("node"), F.col("qualified_name").alias("name"), "kind", "is_project"), graphs.inherits(c), True)
+    nodes = rel.classes(s, d).select(F.col("usr").alias("node"), F.col("qualified_name").alias("name"), "kind", "is_project")
+    return graphs.declarations(nodes, rel.inherits(s, d), True, rel.ancestry(s, d))
 
 
 # --- includes and aliases -------------------------------------------------
@@ -487,14 +505,14 @@ def compile_diff(s: SparkSession, d: str) -> DataFrame:
     return increments.argument_changes(h(t, F.min_by), h(t.filter("command_id % 3 <> 0"), F.max_by))
 
 
-_MOVED = "moved AS (SELECT DISTINCT included_file AS path FROM includes WHERE included_file LIKE 'f5%')"
+_MOVED = "moved AS (SELECT DISTINCT 'f' || (o_orderkey // 4) || '.h' AS path FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')"
 
 
 @query(f"""WITH RECURSIVE {INCLUDES}, {_MOVED}, r AS (SELECT path AS node FROM moved UNION SELECT i.source_file FROM r JOIN includes i ON i.included_file = r.node) SELECT node AS path FROM r""")
 def reanalysis_set(s: SparkSession, d: str) -> DataFrame:
-    e = materialize(rel.includes(s, d), "includes")
-    moved = e.filter("included_file LIKE 'f5%'").select(F.col("included_file").alias("path")).distinct().withColumn("change", F.lit("modified"))
-    return increments.reanalysis_set(moved, e)
+    """All that includes the files of urgent, finished orders, and those files."""
+    moved = table(s, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / 4), F.lit(".h")).alias("path")).distinct()
+    return increments.reanalysis_set(moved.withColumn("change", F.lit("modified")), rel.includes(s, d))
 
 
 @query("SELECT file_path AS header, file_hash AS hash, arg_min(CAST(run_id AS VARCHAR), (indexed_at, CAST(run_id AS VARCHAR))) AS claimed_by FROM file_metadata WHERE file_hash IS NOT NULL GROUP BY 1, 2")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A key that holds at least this share of a join side counts as hot. At most
 #: ``1 / HOT_SHARE`` keys can be hot, which bounds what a hot-key broadcast holds.
@@ -36,9 +38,9 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share for checkpoints and written intermediates.
 
-    ``spark.checkpoint.dir`` of the session wins. Only where it is unset a folder of
-    our own is made: a temporary one in local mode, else one under the cluster's
-    default file system.
+    ``spark.checkpoint.dir`` of the session wins, then a directory set on the context. Only in
+    local mode, where both are unset, a temporary folder of our own is made; on a cluster
+    nobody but its owner knows which folder is shared, so there it is an error.
     """
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -47,8 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="symtide-") if sc.master.startswith("local[") or sc.master == "local" else f"symtide-checkpoints/{sc.applicationId}"
-    sc.setCheckpointDir(own)
+    if not (sc.master.startswith("local[") or sc.master == "local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="symtide-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -100,6 +103,35 @@ def materialize(df: DataFrame, tag: str = "cut") -> DataFrame:
     return back
 
 
+_kept: dict[tuple, tuple[str, StructType]] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Length and time of every file of a table: what tells that it has changed."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return ()
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
+
+
+def maintained(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` that ``build`` derives from ``sources`` of ``sf_dir``, kept in the shared folder.
+
+    It is written when it is first asked for, and anew as soon as a file of a source has changed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in sources))
+    if key not in _kept or not path_exists(spark, _kept[key][0]):
+        df = build()
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        _written[path] = spark
+        for old in [k for k in _kept if k[:3] == key[:3] and k != key]:
+            del _kept[old]
+        _kept[key] = (path, df.schema)
+    path, schema = _kept[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def release(df: DataFrame) -> None:
     """Remove a table of ``materialize`` that nothing reads any more."""
     path = getattr(df, "_symtide_path", None)

@@ -48,6 +48,43 @@ def test_paths_and_orders(spark):
     assert [r["node"] for r in top.collect()] == ["a", "b"] and cut.first()["truncated"]
 
 
+def test_whole_table_traversals_against_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randrange(i)}", f"n{i}") for i in range(1, 60) for _ in range(2)} | {("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("c1", "n3"), ("d", "c0"), ("e", "d"), ("s", "s")}
+    e = spark.createDataFrame(sorted(pairs), "derived_usr string, base_usr string")
+    nodes = sorted({x for p in pairs for x in p} | {"alone"})
+    up = {n: [b for a, b in pairs if a == n] for n in nodes}
+
+    def reach(n):
+        seen, now, d = {}, {n}, 0
+        while now:
+            d += 1
+            now = {b for a in now for b in up[a]} - set(seen)
+            seen |= dict.fromkeys(now, d)
+        return seen
+
+    want = {(n, b, d) for n in nodes for b, d in reach(n).items()}
+    anc = graphs.closure(e, "derived_usr", "base_usr")
+    assert {tuple(r) for r in anc.collect()} == want and anc.count() == len(want)
+    start = spark.createDataFrame([(n,) for n in nodes], "node string")
+    for way in ("up", "down", "both"):
+        got = {tuple(r) for r in graphs.hierarchies_of(anc, start, way).collect()}
+        one = {(n, *r) for n in ("n50", "n3", "c0", "e", "s", "alone") for r in map(tuple, graphs.hierarchy(e, start.filter(F.col("node") == n), way).collect())}
+        assert {g for g in got if g[0] in ("n50", "n3", "c0", "e", "s", "alone")} == one, way
+    bad = {n for n in nodes if n in reach(n) or any(b in reach(b) for b in reach(n))}
+    level = lambda n: max((1 + level(b) for b in up[n]), default=0)
+    assert {r["node"]: r["level"] for r in graphs.topological_levels(start, e).collect()} == {n: -1 if n in bad else level(n) for n in nodes}
+    counts = {(r["node"], r["depth"]): r["n"] for r in graphs.walk_counts(e, "derived_usr", "base_usr", 3).collect()}
+    made = graphs.walks(e, start, "derived_usr", "base_usr", 3).filter("depth > 0").groupBy("source", "depth").count().collect()
+    assert counts == {(r["source"], r["depth"]): r["count"] for r in made}
+    few = spark.createDataFrame([("n50",), ("e",), ("n3",)], "node string")
+    got = {(r["source"], r["target"]): r["path"] for r in graphs.bfs_paths(e, few, few, "derived_usr", "base_usr").collect()}
+    assert {k for k in got} >= {(n, n) for n in ("n50", "e", "n3")} and all(p[0] == s and p[-1] == t and all((a, b) in pairs for a, b in itertools.pairwise(p)) and len(p) - 1 == (reach(s)[t] if s != t else 0) for (s, t), p in got.items())
+
+
 def test_parameter_inheritance(spark):
     t = spark.createDataFrame([("Tmpl", ["T", "U"], ["U", "Fixed"]), ("Other", ["T"], ["Base"])], "name string, params array<string>, bases array<string>")
     refs = spark.createDataFrame([("D", "Tmpl", ["int", "Base"]), ("E", "Other", ["Base"]), ("F", "Tmpl", ["int"])], "derived string, template string, args array<string>")
