@@ -25,17 +25,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Sources in which a message that only sounds like a notice must recur to count as one.
 WIDE = 3
+#: What a short message is: a longer one is no notice that nobody listed, but content.
+SHORT_WORDS, SHORT_CJK = 14, 40
 
 CONTENT, NEUTRAL, RESIDUE, MAYBE = 0, 1, 2, 3
 
 _TAG = re.compile(r"(?i)</?(?:h[1-6]|p|ul|ol|li|br|hr|div|span|b|i|em|strong|a|table|tr|td|th|html|body|head|nav|footer|header|section|main|pre)(?:\s[^<>]*)?/?>")
 _DECOR = re.compile(r"^(?:[\s*/>|=+~-]|#(?!\{)|//+!?)+|(?:\s|\*+/)+$")
 _SLOT = re.compile(
-    r"\{\{\s*[^\W\d][\w .-]*\}\}|\$\{\s*[^\W\d][\w .-]*\}|\$\(\s*[^\W\d][\w .-]*\)|%\([^\W\d][\w ]*\)[sdif]|(?<!\w)%[A-Za-z][A-Za-z_ ]*[A-Za-z]%"
+    r"\{\{\s*[^\W\d][\w .-]*\}\}|\$\{\s*[^\W\d][\w .-]*\}|\$\(\s*[^\W\d][\w .-]*\)|%\([^\W\d][\w ]*\)[sdifSDIF]|(?<!\w)%[A-Za-z][A-Za-z_ ]*[A-Za-z]%"
     r"|(?<![\w@])@[A-Za-z][A-Za-z_]*[A-Za-z]@|(?<!\w)__[A-Za-z][A-Za-z]*(?:_[A-Za-z]+)*__|<%=?\s*[^\W\d][\w .-]*%>|#\{\s*[^\W\d][\w .-]*\}|\[\[\s*[^\W\d][\w .-]*\]\]"
-    r"|(?i:\[\s*(?:insert|enter|add|your|type)\b[^\[\]]*\])|<[A-Z][A-Z]+(?:[_ -][A-Z]+)*>|(?i:<(?:your|insert|enter|fill)\b[^<>]*>)"
+    r"|(?i:\[\s*(?:insert|enter|add|your|type)\b[^\[\]]*\])|<(?!(?:BR|UL|OL|LI|HR|TD|TR|TH|DIV|SPAN|STRONG|EM|TABLE|HTML|BODY|HEAD|NAV|FOOTER|HEADER|SECTION|MAIN|PRE)>)[A-Z][A-Z]+(?:[_ -][A-Z]+)*>|(?i:<(?:your|insert|enter|fill)\b[^<>]*>)"
 )
 _CODE = re.compile(r"(?i)^\s*#\s*include\b|[;{}]\s*$|^\s*(?:class|struct|public|private|protected|namespace|template|using)\b.*[:{;>]\s*$|^\s*\w+(?:::\w+)+\(|^\s*(?:error|warning|note):|:\d+:\d+:|^\s*```")
 _WORD = re.compile(r"[^\W_]+")
@@ -140,7 +144,7 @@ def _sentence(s: str) -> int:
         return NEUTRAL
     if re.fullmatch(r"[A-Za-z_]\w*(?:(?:::|/)\w+)*(?:\.\w+)?", bare) and (not bare.islower() or "_" in bare or "/" in bare):
         return NEUTRAL  # the name of a class or file alone: a title
-    if len(words) <= 14 and len(_CJK.findall(bare)) <= 40 and _CUE.search(bare.lower()):
+    if len(words) <= SHORT_WORDS and len(_CJK.findall(bare)) <= SHORT_CJK and _CUE.search(bare.lower()):
         return MAYBE
     return CONTENT
 
@@ -160,7 +164,7 @@ def judge(line: str) -> int:
     if slots and not re.match(r"(?i)\s*#\s*include\b", raw):
         rest = _WORD.findall(_SLOT.sub(" ", bare))
         return RESIDUE if len(rest) <= (4 * len(slots) + 1 if len(slots) > 1 else 3) else CONTENT
-    if len(bare) <= 240 and (whole := _sentence(bare)) in (RESIDUE, NEUTRAL):
+    if (whole := _sentence(bare)) in (RESIDUE, NEUTRAL):
         return whole
     if _CODE.search(raw):
         return CONTENT
@@ -211,7 +215,7 @@ def messages(documents: DataFrame) -> DataFrame:
 
 def residue_documents(documents: DataFrame, wide: int = WIDE) -> DataFrame:
     """(doc_id, n_messages, n_sources) of the documents that are residue as a whole."""
-    got = messages(documents)
+    got = materialize(messages(documents), "messages")  # the corpus is read and judged once
     # Two steps, so a message of very many documents is counted without gathering them.
     spread = got.groupBy("line_hash", F.coalesce("source", F.lit("")).alias("source")).agg(F.max("beside").alias("beside")).groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_sources"), F.count(F.when(F.col("beside"), 1)).alias("n_beside"))
     judged = got.filter("open").join(spread, "line_hash")

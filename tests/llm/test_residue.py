@@ -53,3 +53,9 @@ def test_empty(spark):
 @pytest.mark.parametrize("a, b", [("Try again in 5 seconds", "Try again in 90 seconds"), ("See a/b.h on 2024-01-02", "See c/d/e.cpp on 2023-11-30"), ("Moved FooBar", "Moved BazQux")])
 def test_masks(a, b):
     assert R.masked(a) == R.masked(b)
+
+
+def test_placeholders_in_capitals(spark):
+    texts = ["<H1>%(ISSUE_NUMBER)S</H1>\n<P>%(MODULE)S</P>\n<UL>\n<LI>%(CLASS_NAME)S</LI>\n</UL>", "<UL>\n<LI>The parser keeps one table for each class.</LI>\n</UL>", "<UL>\n</UL>", "blah " * 500, "asdf " * 300 + "The index keeps its rows."]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in R.residue_documents(df).collect()} == {0, 3}
