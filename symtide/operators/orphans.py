@@ -18,13 +18,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: References that one task should probe, and the finest key ranges (as a power of two) that are counted.
-RANGE_ROWS, FINE_BITS = 100_000, 14
+#: References that one range should hold, and ranges (with their salts) that one task takes.
+RANGE_ROWS, RANGES_A_TASK = 100_000, 4
+#: Key ranges (as a power of two) that are counted first; more only where there are too many references for these.
+FINE_BITS = 14
 _REASONS = np.array(["", "missing", "late", "deleted"], dtype=object)
 _MAX = np.iinfo(np.int64).max
 
@@ -132,6 +135,12 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _counts(refs: DataFrame, bits: int) -> tuple[pd.DataFrame, int]:
+    """References in each of 2**bits key ranges, and in all."""
+    got = refs.groupBy(_range("key", bits).alias("r")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    return got, int(got["n"].sum())
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame, range_rows: int = RANGE_ROWS, fine_bits: int = FINE_BITS) -> DataFrame:
     """Misses of ``refs`` (ref_id long, side, key, made) among ``parents`` (key, made, gone, kept).
 
@@ -139,26 +148,34 @@ def orphan_references(refs: DataFrame, parents: DataFrame, range_rows: int = RAN
     always exists. Gives (ref_id, side, key, reason, made).
     """
     refs = refs.filter(F.col("key").rlike(r"\S"))
-    # At most 2**fine_bits counts come to the driver; they say how many ranges to make and which to split.
-    fine = {r["r"]: r["n"] for r in refs.groupBy(_range("key", fine_bits).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(fine.values())
-    bits = min(fine_bits, max(1, (total // range_rows).bit_length()))
+    # One number per key range comes to the driver: they say how many ranges to make and which to split.
+    fine, total = _counts(refs, fine_bits)
+    wanted = max(1, (total // range_rows).bit_length())
+    if wanted > fine_bits:
+        fine_bits = wanted
+        fine, total = _counts(refs, fine_bits)
+    bits = min(fine_bits, wanted)
     at = _range("key", bits)
-    counts: dict[int, int] = {}
-    for r, n in fine.items():
-        counts[r >> (fine_bits - bits)] = counts.get(r >> (fine_bits - bits), 0) + n
+    lowest = -(1 << fine_bits - 1)  # the hash is signed
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    np.add.at(counts, (fine["r"].to_numpy() - lowest) >> (fine_bits - bits), fine["n"].to_numpy())
     each = max(range_rows, total >> bits)
-    many = {r: -(-n // each) for r, n in counts.items() if n > 2 * each}
-    salts = F.coalesce(F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.col("r")], F.lit(1)) if many else F.lit(1)
+    split = np.flatnonzero(counts > 2 * each)  # at most total / (2 * each) ranges, that is half of them
+    many = {int(r) + (lowest >> (fine_bits - bits)): int(-(-counts[r] // each)) for r in split}
+    # A table for a broadcast join, bounded as the ranges are.
+    told = F.broadcast(refs.sparkSession.createDataFrame(list(many.items()), "r int, salts int")) if many else None
+    salted = lambda df: (df.join(told, "r", "left").withColumn("salts", F.coalesce("salts", F.lit(1))) if many else df.withColumn("salts", F.lit(1)))
+    tasks = max(8, -(-(int(counts.sum()) // range_rows + len(many)) // RANGES_A_TASK))
     kind = dict(refs.dtypes)["made"]
     probes = refs.select(
         F.lit(True).alias("ref"), F.xxhash64("key").alias("h"), "key", "made", F.lit(None).cast(kind).alias("gone"), F.lit(False).alias("kept"), F.col("ref_id").alias("id"), "side", at.alias("r")
-    ).withColumn("salt", F.pmod(F.hash("id"), salts) if many else F.lit(0))
+    )
+    probes = salted(probes).withColumn("salt", F.pmod(F.hash("id"), F.col("salts"))).drop("salts")
     held = parents.filter(F.col("key").isNotNull()).select(
         F.lit(False).alias("ref"), F.xxhash64("key").alias("h"), "key", F.col("made").cast(kind).alias("made"), F.col("gone").cast(kind).alias("gone"), F.coalesce("kept", F.lit(False)).alias("kept"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("side"), at.alias("r")
     )
-    held = held.distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)) if many else F.lit(0))
-    met = held.unionByName(probes).repartition("r", "salt").sortWithinPartitions("ref").drop("r", "salt")
+    held = salted(held.distinct()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    met = held.unionByName(probes).repartition(tasks, "r", "salt").sortWithinPartitions("ref").drop("r", "salt")
     return met.mapInArrow(_probe, f"ref_id long, side string, key string, reason string, made {kind}")
 
 

@@ -211,7 +211,7 @@ def tool_steps(conversations: DataFrame) -> DataFrame:
                                         seq += 1
                                     pending = thought = None
                                 elif kind == "text":
-                                    thought, pending = str(c.get("text"))[:200].encode("utf-8", "replace").decode(), None
+                                    thought, pending = str(c.get("text")).encode("utf-8", "replace").decode(), None
             yield pd.DataFrame(out, columns=["conv_id", "seq", "tool_name", "n_results", "reasoning"])
 
     return latest_readable(conversations).mapInPandas(run, "conv_id long, seq int, tool_name string, n_results int, reasoning string")

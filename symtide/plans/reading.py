@@ -69,9 +69,9 @@ def include_lines(s: SparkSession, d: str) -> DataFrame:
 
 @_put()
 def source_facts(s: SparkSession, d: str) -> DataFrame:
-    """Classes, functions, aliases and calls of the source texts among the documents."""
-    texts = table(s, d, "documents").filter("doc_kind = 'source_file' AND text IS NOT NULL")
-    return extract.facts(texts.select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content")))
+    """Classes, functions, aliases and calls of all C++ among the documents: source texts, and the fenced parts of others."""
+    texts = table(s, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("file"), extract.code_in("text").alias("content"))
+    return extract.facts(texts.filter("content IS NOT NULL"))
 
 
 @_put("SELECT DISTINCT file, starts_with(file, '/srv/build/') AND len(list_filter(string_split(substr(file, 12), '/'), lambda x: x IN ('generated', 'third_party'))) = 0 AS is_project FROM call_sites WHERE file IS NOT NULL")

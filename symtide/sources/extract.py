@@ -11,7 +11,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: (file, content) to rows of FACTS.
 Extractor = Callable[[str, str], Iterator[tuple]]
@@ -86,3 +87,11 @@ def facts(files: DataFrame, extractor: Extractor = lexical) -> DataFrame:
             yield pd.DataFrame(out, columns=cols)
 
     return files.select("file", "content").mapInPandas(run, FACTS)
+
+
+def code_in(text: str) -> Column:
+    """The C++ of a text: what stands in fences, else the whole if a line of it is a directive or ends as code does; null if there is none."""
+    c = F.col(text)
+    fenced = F.regexp_extract_all(c, F.lit(r"(?s)```[^\n]*\n(.*?)(?:```|\z)"))
+    whole = F.when(c.rlike(r"(?m)^\s*#\s*include\b|[;{}]\s*$"), c)
+    return F.when(c.contains("```"), F.nullif(F.array_join(fenced, "\n"), F.lit(""))).otherwise(whole)

@@ -19,7 +19,7 @@ from ..session import blank
 CPP = (".cpp", ".cc", ".cxx", ".c++", ".h", ".hpp", ".hxx", ".h++")
 EXCLUDED = (".git", ".svn", ".hg", "node_modules", "__pycache__", ".pytest_cache", ".vs", ".vscode", ".idea", "CMakeFiles", "CMakeCache.txt")
 DEPENDENCIES = ("vcpkg_installed", "third_party", "ThirdParty", "external", "External", "vendor", "dependencies", "packages")
-#: The largest file that is read, in MB.
+#: The largest file that is read unless asked otherwise, in MB.
 MAX_MB = 10
 
 SCHEMAS = {
@@ -96,14 +96,18 @@ def include_audit(arguments: DataFrame, existing: DataFrame) -> DataFrame:
     return named.join(existing.select("directory").distinct(), "directory", "left_anti").groupBy("directory").agg(F.countDistinct("file").alias("n_files"))
 
 
-def source_files(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, dependencies: tuple[str, ...] = DEPENDENCIES) -> DataFrame:
-    """(file, content, hash, is_project): the C++ files below ``root``; excluded directories only count at the top."""
+def source_files(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, dependencies: tuple[str, ...] = DEPENDENCIES, max_mb: float | None = MAX_MB) -> DataFrame:
+    """(file, content, hash, is_project, error): the C++ files below ``root``; excluded directories only count at the top.
+
+    A file of more than ``max_mb`` keeps its row, without content but with an error; None reads all.
+    """
     path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(path.alias("file"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(path.alias("file"), "content", "length")
     ending = F.lower(F.concat(F.lit("."), F.substring_index("file", ".", -1))).isin(*CPP)
-    small = F.length("content") <= MAX_MB * 1024 * 1024
-    kept = files.filter(ending & small & ~naming.skipped_file(F.col("file"), root.rstrip("/"), excluded))
-    return kept.select("file", F.call_function("decode", F.col("content"), F.lit("UTF-8")).alias("content"), F.md5("content").alias("hash"), naming.project_file(F.col("file"), root.rstrip("/"), dependencies).alias("is_project"))
+    large = F.lit(False) if max_mb is None else F.col("length") > int(max_mb * 1024 * 1024)
+    kept = files.filter(ending & ~naming.skipped_file(F.col("file"), root.rstrip("/"), excluded))
+    text = F.call_function("decode", F.col("content"), F.lit("UTF-8"))
+    return kept.select("file", F.when(~large, text).alias("content"), F.when(~large, F.md5("content")).alias("hash"), naming.project_file(F.col("file"), root.rstrip("/"), dependencies).alias("is_project"), F.when(large, f"larger than {max_mb} MB").alias("error"))
 
 
 def choose_sources(commands: DataFrame | None, scanned: DataFrame) -> DataFrame:

@@ -150,6 +150,8 @@ def test_sources(spark, tmp_path):
         (tmp_path / p).write_text('#include "x.h"\n# include <vector>\n')
     files = tables.source_files(spark, str(tmp_path))
     assert {(r["file"].replace(str(tmp_path), ""), r["is_project"]) for r in files.collect()} == {("/src/a.cpp", True), ("/src/third_party/b.h", False)}
+    small = {r["file"].rsplit("/", 1)[-1]: (r["content"], r["error"]) for r in tables.source_files(spark, str(tmp_path), max_mb=0.00001).collect()}
+    assert small["a.cpp"] == (None, "larger than 1e-05 MB") and all(r["content"] for r in tables.source_files(spark, str(tmp_path), max_mb=None).collect())
     assert {r["included"] for r in tables.include_lines(files).collect()} == {"x.h", "vector"}
     (tmp_path / "cc.json").write_text('[{"file": "a.c", "directory": "/d", "arguments": ["cc", "-Ii", "a.c"]}, {"directory": "/d"}, {"file": "/d/a.c", "directory": "/d", "arguments": ["cc", "-DX"]}]')
     cc = tables.compile_database(spark, str(tmp_path / "cc.json"))
