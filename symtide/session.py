@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -88,18 +88,21 @@ def _clean() -> None:
             pass
 
 
-def materialize(df: DataFrame, tag: str = "cut") -> DataFrame:
+def materialize(df: DataFrame, tag: str = "cut", told: dict[str, Column] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
     The table survives the loss of any executor and carries true sizes for the
-    planner. It goes away at the end of the application, or with ``release``.
+    planner. It goes away at the end of the application, or with ``release``. The aggregates in ``told``
+    are worked out while it is written, and come in ``_symtide_told``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    seen = Observation() if told else None
+    (df.observe(seen, *(c.alias(k) for k, c in told.items())) if told else df).write.parquet(path)
     _written[path] = spark
     back = spark.read.schema(df.schema).parquet(path)
     back._symtide_path = path
+    back._symtide_told = seen.get if told else {}
     return back
 
 
