@@ -242,17 +242,6 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, ancestry: DataFrame |
     return nodes.select("node").distinct().join(deep, "node", "left").select("node", F.coalesce("level", F.lit(0)).cast("int").alias("level"))
 
 
-def parameter_bases(templates: DataFrame) -> DataFrame:
-    """(name, index): templates (name, params array, bases array) that inherit from a parameter of theirs."""
-    return templates.select("name", F.posexplode("params").alias("index", "param"), "bases").filter(F.expr("array_contains(bases, param)")).select("name", "index")
-
-
-def inherited_through(refs: DataFrame, templates: DataFrame) -> DataFrame:
-    """(derived, base): ``Tmpl<Arg>`` among the bases of ``refs`` (derived, template, args) brings Arg as a base
-    where Tmpl inherits from that parameter."""
-    return refs.join(parameter_bases(templates).withColumnRenamed("name", "template"), "template").select("derived", F.get("args", F.col("index")).alias("base")).filter("base IS NOT NULL")
-
-
 def declarations(nodes: DataFrame, edges: DataFrame, with_meta: bool = False, ancestry: DataFrame | None = None) -> DataFrame:
     """(level, name, line): one C++-like declaration per class, to be read in order of level and name.
 

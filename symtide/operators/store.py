@@ -70,6 +70,34 @@ class Table:
         for old in versions[:-keep]:
             remove_path(self.spark, f"{self.path}/{old}")
 
+    def clear(self) -> None:
+        """A new version without rows."""
+        self.commit(self.read().limit(0))
+
+    def versions(self) -> list[str]:
+        return (self._pointer() or {"versions": []})["versions"]
+
+    def at(self, version: str) -> DataFrame:
+        """An older version that is still kept: what a reader that began before the last commit goes on with."""
+        return self.spark.read.parquet(f"{self.path}/{version}")
+
+    def backup(self, path: str) -> None:
+        """Copy the current version to ``path``."""
+        self.read().write.mode("errorifexists").parquet(path)
+
+    def repair(self) -> bool:
+        """Go back to the newest version that can be read whole; False if there is none."""
+        told = self._pointer() or {"versions": []}
+        for k in range(len(told["versions"]), 0, -1):
+            try:
+                self.at(told["versions"][k - 1]).write.format("noop").mode("overwrite").save()
+            except Exception:  # a file is gone or broken: the version before may be whole
+                continue
+            if k < len(told["versions"]):
+                self._point({"version": told["versions"][k - 1], "versions": told["versions"][:k]})
+            return True
+        return False
+
     def restore(self) -> None:
         """Back to the version before."""
         now = self._pointer()
@@ -126,6 +154,12 @@ def older_than(errors: DataFrame, days: int, now: str) -> DataFrame:
     return errors.filter(F.col("at") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
 
 
+def cleared(errors: DataFrame, days: int, now: str) -> DataFrame:
+    """One row (n_kept, n_removed) of what ``older_than`` leaves of a log; errors without a time go."""
+    keep = F.coalesce(F.col("at") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
+    return errors.agg(F.count(F.when(keep, 1)).alias("n_kept"), F.count(F.when(~keep, 1)).alias("n_removed"))
+
+
 def maintenance_plan(size_mb: float, waste_mb: float, n_files: int, least_mb: float = 100, least_waste_mb: float = 10) -> list[str]:
     """What upkeep a table needs: statistics always, a rewrite when it is large and wasteful or in many small files."""
     steps = ["analyze"]

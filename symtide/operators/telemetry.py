@@ -126,6 +126,86 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "scenario_id", "full_outer").select("scenario_id", verdict.alias("verdict"))
 
 
+def tool_frequency(records: DataFrame) -> DataFrame:
+    """(tool, n_called, n_expected, match_rate): how often each tool was called and expected, and how often both at once, of the times expected (3 digits)."""
+    one = lambda c, name: records.select("seq", F.explode(F.array_distinct(c)).alias("tool"), F.lit(1).alias(name))
+    met = one("called", "c").unionByName(one("expected", "e"), allowMissingColumns=True).groupBy("seq", "tool").agg(F.max("c").alias("c"), F.max("e").alias("e"))
+    n = met.groupBy("tool").agg(F.count("c").alias("n_called"), F.count("e").alias("n_expected"), F.count(F.when(F.col("c").isNotNull() & F.col("e").isNotNull(), 1)).alias("both"))
+    return n.select("tool", "n_called", "n_expected", F.when(F.col("n_expected") > 0, F.round(F.col("both") / F.col("n_expected"), 3)).alias("match_rate"))
+
+
+def failure_examples(records: DataFrame, k: int = 3) -> DataFrame:
+    """(label, model_id, n, examples): failures of each model, with the first ``k`` sequence numbers as text.
+
+    Every part of 1,024 hash slots gives its own first ``k``, so no window holds all failures of a label.
+    """
+    met = failure_labels(records).join(records.select("seq", "model_id"), "seq").withColumn("slot", F.pmod(F.xxhash64("seq"), F.lit(1024)))
+    first = lambda df, *by: df.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("seq"))).filter(F.col("r") <= k).drop("r")
+    top = first(first(met, "label", "model_id", "slot"), "label", "model_id").groupBy("label", "model_id").agg(F.array_join(F.array_sort(F.collect_list("seq")), ",").alias("examples"))
+    return met.groupBy("label", "model_id").agg(F.count(F.lit(1)).alias("n")).join(top, ["label", "model_id"])
+
+
+def runaway_loops(calls: DataFrame, limit: int = 5) -> DataFrame:
+    """(session, tool, first_call, n): stretches in which a session calls one tool ``limit`` times or more without another between."""
+    by = W.partitionBy("session").orderBy("ts", "call_id")
+    c = calls.withColumn("nth", F.row_number().over(by)).withColumn("new", F.coalesce((F.lag("tool").over(by) != F.col("tool")).cast("int"), F.lit(1)))
+    c = c.withColumn("stretch", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    got = c.groupBy("session", "stretch", "tool").agg(F.min_by("call_id", "nth").alias("first_call"), F.count(F.lit(1)).alias("n"))
+    return got.filter(F.col("n") >= limit).select("session", "tool", "first_call", "n")
+
+
+def error_summary(calls: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+    """(kind, operation, n): errors in the last ``seconds`` before ``now`` (microseconds) by kind and by whether they gave data."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    recent = calls.filter((F.col("tool") == "error") & (at <= now) & (at > now - seconds * 1_000_000))
+    return recent.groupBy(F.col("tool").alias("kind"), F.when(F.col("result_count") == 0, "empty").otherwise("data").alias("operation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def enriched(calls: DataFrame, pattern: str = "pattern", large: int = LARGE) -> DataFrame:
+    """Calls with what the log adds to them: is_empty, is_large, is_retry and the class of their pattern."""
+    from ..functions.patterns import pattern_class
+
+    c = retries(calls)
+    return c.withColumns({"is_empty": F.col("result_count") == 0, "is_large": F.col("result_count") > large, "pattern_class": pattern_class(F.col(pattern))})
+
+
+def alternative_names(patterns: DataFrame, symbols: DataFrame, k: int = 3) -> DataFrame:
+    """(pattern, names): the first ``k`` names that equal the last component of a pattern in any case."""
+    names = symbols.filter("name IS NOT NULL").select("name", F.col("name_lc").alias("lc")).distinct()
+    top = names.withColumn("r", F.row_number().over(W.partitionBy("lc").orderBy("name"))).filter(F.col("r") <= k)  # as many as ways to write a name
+    top = top.groupBy("lc").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    return patterns.select("pattern", F.lower(F.substring_index("pattern", "::", -1)).alias("lc")).join(top, "lc").select("pattern", "names")
+
+
+def unwrapped(arguments: Column) -> Column:
+    """Arguments that are nothing but ``parameters`` with an object in it, as that object (JSON texts)."""
+    inner = F.get_json_object(arguments, "$.parameters")
+    alone = F.json_array_length(F.to_json(F.call_function("json_object_keys", arguments))) == 1
+    return F.when(alone & inner.startswith("{"), inner).otherwise(arguments)
+
+
+def response_records(responses: DataFrame) -> DataFrame:
+    """(response_id, n_calls, tools, error, text) of model responses ``body`` (JSON with output items); a stop for length is an error."""
+    schema = "struct<output array<struct<type string, name string, text string, arguments string>>, stop_reason string, error string>"
+    b = F.from_json("body", schema)
+    calls = F.filter(F.coalesce(b["output"], F.array().cast("array<struct<type string, name string, text string, arguments string>>")), lambda x: x["type"] == "function_call")
+    words = F.filter(F.coalesce(b["output"], F.array().cast("array<struct<type string, name string, text string, arguments string>>")), lambda x: x["type"] == "message")
+    error = F.when(b["error"].isNotNull(), b["error"]).when(b["stop_reason"] == "max_tokens", "max_tokens")
+    return responses.select("response_id", F.size(calls).alias("n_calls"), F.array_join(F.transform(calls, lambda x: x["name"]), ",").alias("tools"), error.alias("error"), F.array_join(F.transform(words, lambda x: x["text"]), "\n").alias("text"))
+
+
+def compact_report(failures: DataFrame) -> DataFrame:
+    """(label, category, n, first_seq): failures by their label and category, the most frequent first."""
+    return failures.groupBy("label", "category").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
+def fixture_holds(spec: Column, actual: Column) -> Column:
+    """Does a value fit a fixture's spec: ``contains:x``, ``regex:x`` (found anywhere), or else equal; all in any case."""
+    got, kind, want = F.coalesce(actual, F.lit("")), F.substring_index(spec, ":", 1), F.substring(spec, F.instr(spec, ":") + 1, F.length(spec))
+    found = F.call_function("rlike", got, F.concat(F.lit("(?i)"), want))
+    return F.coalesce(actual.isNotNull() & F.when(spec.startswith("contains:"), F.lower(got).contains(F.lower(want))).when(spec.startswith("regex:"), found).otherwise(F.lower(got) == F.lower(spec)), F.lit(False))
+
+
 # --- scenario evaluation --------------------------------------------------
 
 def assertion_holds(kind: Column, expected: Column, actual: Column) -> Column:
@@ -145,9 +225,9 @@ def failure_pattern(missing: Column, tool_match: Column, params_pass: Column) ->
 def best_fixtures(calls: DataFrame, fixtures: DataFrame) -> DataFrame:
     """(call_id, fixture_id): of the fixtures whose criteria all hold, the one with the most, then the first.
 
-    ``calls``: call_id, tool, args map; ``fixtures``: fixture_id, tool, pos, criteria map (exact, any case).
+    ``calls``: call_id, tool, args map; ``fixtures``: fixture_id, tool, pos, criteria map (see ``fixture_holds``).
     """
-    holds = F.forall(F.map_entries("criteria"), lambda e: F.coalesce(F.lower(F.col("args")[e["key"]]) == F.lower(e["value"]), F.lit(False)))
+    holds = F.forall(F.map_entries("criteria"), lambda e: fixture_holds(e["value"], F.col("args")[e["key"]]))
     met = calls.join(fixtures, "tool").filter((F.size("criteria") > 0) & holds)
     return met.groupBy("call_id").agg(F.max_by("fixture_id", F.struct(F.size("criteria"), -F.col("pos"))).alias("fixture_id"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("problems", "reference", "reading")
+_MODULES = ("problems", "reference", "reading", "tools", "upkeep")
 
 
 def all_queries() -> dict:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming, patterns
-from ..functions.usr import signature_parts, usr_display_name
 from ..operators import aliases as al
 from ..operators import graphs, increments, search, store, telemetry
 from ..operators import relations as rel
@@ -164,18 +163,6 @@ def name_parts(s: SparkSession, d: str) -> DataFrame:
     return rel.symbols(s, d).select("usr", patterns.last_component(q).alias("last"), naming.namespace_of(q).alias("scope"), naming.without_template(q).alias("without_template"))
 
 
-@query()
-def usr_names(s: SparkSession, d: str) -> DataFrame:
-    """The readable name of every callee."""
-    return table(s, d, "call_sites").select("callee_usr").filter("callee_usr IS NOT NULL").distinct().select("callee_usr", usr_display_name("callee_usr").alias("display_name"))
-
-
-@query()
-def signature_texts(s: SparkSession, d: str) -> DataFrame:
-    """Parameters and qualifiers of every signature."""
-    return rel.functions(s, d).filter("signature IS NOT NULL").select("usr", signature_parts("signature").alias("p")).select("usr", "p.params", "p.qualifiers")
-
-
 @query(f"""WITH {SYM}, t AS (SELECT DISTINCT usr, lower(unnest(regexp_extract_all(replace(regexp_replace(name, '([A-Z])', '~\\1', 'g'), '~', ' '), '[A-Z]?[a-z]+|[0-9]+'))) AS token FROM sym)
  SELECT usr FROM t WHERE starts_with(token, 'tok') INTERSECT SELECT usr FROM t WHERE token = 'load'""")
 def full_text(s: SparkSession, d: str) -> DataFrame:
@@ -187,12 +174,6 @@ def lookup_any_case(s: SparkSession, d: str) -> DataFrame:
     return rel.symbols(s, d).filter(F.col("name_lc") == "getpage").select("usr", "name")
 
 
-@query()
-def search_status(s: SparkSession, d: str) -> DataFrame:
-    """What to say about a result: its status row."""
-    return search.result_status(search.search_classes(rel.symbols(s, d), Criteria(".*Token.*")))
-
-
 # --- calls ----------------------------------------------------------------
 
 
@@ -572,7 +553,7 @@ def error_window_rate(s: SparkSession, d: str) -> DataFrame:
 _PATTERNS = "pats AS (SELECT DISTINCT signature AS pattern FROM symbols WHERE signature IS NOT NULL UNION SELECT DISTINCT qualified_name FROM symbols UNION SELECT DISTINCT name || '.*' FROM symbols UNION SELECT DISTINCT name FROM symbols)"
 
 
-def _patterns(s: SparkSession, d: str) -> DataFrame:
+def _pattern_table(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "symbols")
     one = lambda c: t.select(c.alias("pattern"))
     return one(F.col("signature")).filter("pattern IS NOT NULL").unionByName(one(F.col("qualified_name"))).unionByName(one(F.concat("name", F.lit(".*")))).unionByName(one(F.col("name"))).distinct()
@@ -584,14 +565,14 @@ _PLAIN = "void|bool|int|float|double|char|const|auto|typename|unsigned|long|shor
 @query(rf"""WITH {_PATTERNS} SELECT pattern, CASE WHEN contains(pattern, '(') OR (regexp_matches(pattern, '\b({_PLAIN})\b|\b(struct|class)\b\s') AND regexp_matches(trim(pattern), '\S\s+\S')) THEN 'signature_like'
  WHEN contains(pattern, '::') AND NOT regexp_matches(pattern, '[.*+?\[\]{{}}()|\\^$]') THEN 'qualified_name' WHEN regexp_matches(pattern, '[.*+?\[\]{{}}()|\\^$]') THEN 'regex' ELSE 'plain_name' END AS class FROM pats WHERE pattern IS NOT NULL""")
 def pattern_classes(s: SparkSession, d: str) -> DataFrame:
-    return _patterns(s, d).filter("pattern IS NOT NULL").select("pattern", patterns.pattern_class(F.col("pattern")).alias("class"))
+    return _pattern_table(s, d).filter("pattern IS NOT NULL").select("pattern", patterns.pattern_class(F.col("pattern")).alias("class"))
 
 
 @query(rf"""WITH {_PATTERNS} SELECT pattern, contains(pattern, '(') AS has_parens, contains(pattern, ' ') AS has_spaces, contains(pattern, '::') AS has_colons, regexp_matches(pattern, '[.*+?\[\]{{}}()|\\^$]') AS has_regex_meta,
  regexp_matches(lower(pattern), '\b({_PLAIN}|struct|class)\b') AS has_type_keywords FROM pats WHERE pattern IS NOT NULL""")
 def pattern_features(s: SparkSession, d: str) -> DataFrame:
     got = patterns.pattern_features(F.col("pattern"))
-    return _patterns(s, d).filter("pattern IS NOT NULL").select("pattern", *(v.alias(k) for k, v in got.items()))
+    return _pattern_table(s, d).filter("pattern IS NOT NULL").select("pattern", *(v.alias(k) for k, v in got.items()))
 
 
 @query(f"""WITH {SYM}, p AS (SELECT DISTINCT upper(name) AS pattern FROM sym), n AS (SELECT name, count(*) AS n FROM sym GROUP BY 1), l AS (SELECT lower(name) AS lc, count(*) AS n FROM sym GROUP BY 1)

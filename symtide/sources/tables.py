@@ -70,6 +70,19 @@ def latest_arguments(commands: DataFrame, rules: list[dict] | None = None, fallb
     return last.select("file", F.coalesce(got, F.array(*[F.lit(x) for x in fallback]).cast("array<string>")).alias("arguments"))
 
 
+def first_commands(commands: DataFrame) -> DataFrame:
+    """The first entry of each file, whole; entries without a file are left out."""
+    rest = [c for c in commands.columns if c != "file"]
+    return commands.filter("file IS NOT NULL").groupBy("file").agg(F.min_by(F.struct(*rest), "position").alias("s")).select("file", "s.*")
+
+
+def ordered_values(commands: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """(value, first_command): the distinct arguments that begin with one of ``prefixes``; in the order of first_command they are as first met."""
+    hit = lambda x: reduce(lambda a, b: a | b, [x.startswith(p) for p in prefixes])
+    got = commands.filter("size(arguments) > 0").select("position", F.explode(F.filter("arguments", hit)).alias("value"))
+    return got.groupBy("value").agg(F.min("position").alias("first_command"))
+
+
 def argument_profile(commands: DataFrame) -> DataFrame:
     """One row: entries, files, distinct ``-std=`` values and distinct system include paths."""
     after = F.filter(F.transform(F.sequence(F.lit(0), F.size("arguments") - 1), lambda i: F.when(F.get("arguments", i) == "-isystem", F.get("arguments", i + 1))), lambda x: x.isNotNull())

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from symtide.operators import graphs, search, store, telemetry
+from symtide.operators import graphs, search, store, telemetry, templates
 from symtide.operators import relations as rel
 from symtide.operators.search import Criteria
 from symtide.session import scratch_path
@@ -86,9 +86,19 @@ def test_whole_table_traversals_against_brute_force(spark):
 
 
 def test_parameter_inheritance(spark):
-    t = spark.createDataFrame([("Tmpl", ["T", "U"], ["U", "Fixed"]), ("Other", ["T"], ["Base"])], "name string, params array<string>, bases array<string>")
-    refs = spark.createDataFrame([("D", "Tmpl", ["int", "Base"]), ("E", "Other", ["Base"]), ("F", "Tmpl", ["int"])], "derived string, template string, args array<string>")
-    assert [tuple(r) for r in graphs.inherited_through(refs, t).collect()] == [("D", "Base")]
+    t = spark.createDataFrame([("ns::Tmpl", ["T", "U"], ["U", "Fixed"]), ("Other", ["T"], ["Base"]), ("Num", ["T", "N"], ["type-parameter-0-0"])], "name string, params array<string>, bases array<string>")
+    refs = spark.createDataFrame([("D", "ns::Tmpl<int, a::Base<x, y>>"), ("E", "Other<Base>"), ("F", "Tmpl<int>"), ("G", "Tmpl<int, Base>"), ("H", "::Num< Base , 3>"), ("I", "Plain")], "derived_usr string, base_raw string")
+    got = {(r["derived_usr"], r["base"]) for r in templates.parameter_bases(refs, t).collect()}
+    assert got == {("D", "a::Base<x, y>"), ("G", "Base"), ("H", "Base")}
+    rows = [("D", "D", "class", ["ns::Tmpl<int, Base>", "T"], True, False), ("c:@ST>1#T@K", "K", "class_template", ["T", "a::Base"], True, True), ("B", "Base", "class", [], True, False), ("X", "X", "class", ["Base"], False, False), ("M", "Tmpl", "class_template", [], True, True), ("W", "BaseWidget", "class", [], True, False)]
+    c = spark.createDataFrame(rows, "usr string, name string, kind string, bases array<string>, is_project boolean, is_template boolean")
+    got = {tuple(r) for r in templates.derived_classes(c, t).collect()}
+    assert got == {("Base", "c:@ST>1#T@K", "base"), ("Tmpl", "D", "specialization"), ("Base", "D", "parameter")}
+    fit = lambda b, p: spark.range(1).select(templates.base_matches(F.lit(b), F.lit(p))).first()[0]
+    assert fit("a::Base", "Base") and fit("Base<int>", "Base<") and fit("a::Base<int>", "Base<") and not fit("BaseWidget", "Base") and not fit("Base", "Base<")
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(templates.parameters_of_usr(F.lit("c:@N@a@ST>2#T#NI@Box"))) == ["T", "U"] and one(templates.parameters_of_usr(F.lit("c:@ST>1#T@A@S@B"))) == []
+    assert one(templates.is_specialization(F.lit("A<int>"), F.lit("class"))) and not one(templates.is_specialization(F.lit("f<T>(A<int>)"), F.lit("function_template"))) and not one(templates.is_specialization(F.lit("operator<(A<int>)"), F.lit("function")))
 
 
 def test_hierarchy_both_leaves_siblings_out(spark):
