@@ -153,6 +153,60 @@ def test_extract(spark):
     assert next(r[4] for r in rows if r[2] == "Derived") == "Base, other::Mixin<int>"
 
 
+DEEP = """
+namespace app::ui {
+/// A base.
+class Base { public: virtual void run() = 0; protected: static int count(); int size() const; };
+template <typename T, int N> class Box final : public Base, private other::Mixin<T> {
+public:
+  Box(); ~Box() override;
+  T get(int i) const { return helper<T>(i); }
+  bool operator==(const Box &o) const;
+  explicit operator bool() const;
+};
+template <> class Box<int, 3> : public Base {};
+template <typename T> class Box<T*, 1> {};
+template <typename T> using Vec = std::vector<T>;
+typedef unsigned long Word;
+typedef void (*Callback)(int);
+using W2 = Word;
+}
+app::ui::Base *make_base(const std::string &s = "a;b{", int n = 3);
+template <typename T> T maxi(T a, T b) {
+  return other::pick<app::ui::Base>(a, b);
+}
+Box::Box() : a(1), b{2} { init(); }
+static const char *names[] = {"a"};
+int broken( } class Whole { };
+"""
+
+
+def test_extract_declarations():
+    rows = [dict(zip(extract._FIELDS, r)) for r in extract.lexical("d.h", DEEP)]
+    by = {(r["fact"], r["name"], ",".join(r["template_args"] or ())): r for r in rows}
+    base, box = by[("class", "Base", "")], by[("class_template", "Box", "")]
+    assert base["doc_comment"] == "/// A base." and base["usr"] == "c:@N@app@N@ui@S@Base" and (box["line"], box["end_line"], box["detail"]) == (5, 11, "Base, other::Mixin<T>")
+    assert box["template_params"] == ["typename T", "int N"] and box["usr"] == "c:@N@app@N@ui@ST>2#T#T@Box"
+    assert by[("class", "Box", "int,3")]["is_specialization"] and by[("partial_specialization", "Box", "T *,1")]["template_params"] == ["typename T"]
+    run, size, count, get = (by[("function", n, "")] for n in ("run", "size", "count", "get"))
+    assert run["is_pure_virtual"] and run["is_virtual"] and run["access"] == "public" and size["is_const"] and size["access"] == "protected" and count["is_static"] and get["return_type"] == "T" and get["is_definition"] and not run["is_definition"]
+    assert by[("function", "~Box", "")]["is_virtual"] and ("function", "operator==", "") in by and ("function", "operator bool", "") in by and ("function", "Box::Box", "") in by
+    assert by[("function", "make_base", "")]["return_type"] == "app::ui::Base *" and by[("function_template", "maxi", "")]["template_params"] == ["typename T"] and by[("function_template", "maxi", "")]["end_line"] == 22
+    assert by[("alias", "W2", "")]["canonical"] == "unsigned long" and by[("alias", "Vec", "")]["template_params"] == ["typename T"] and by[("alias", "Callback", "")]["return_type"] == "typedef"
+    call = by[("call", "other::pick", "app::ui::Base")]
+    assert (call["scope"], call["line"], call["column_no"], call["canonical"]) == ("maxi", 21, 10, "app::ui::Base") and ("call", "init", "") in by and ("call", "helper", "T") in by
+    assert ("class", "Whole", "") in by and not any(r["name"] == "names" for r in rows)
+
+
+def test_extract_tries_again(spark):
+    def bad(file, content):
+        raise ValueError("no")
+        yield
+
+    df = spark.createDataFrame([("a.h", "class A {};")], "file string, content string")
+    assert [r["fact"] for r in extract.facts(df, bad, extract.lexical).collect()] == ["class"] and [r["fact"] for r in extract.facts(df, bad).collect()] == ["error"]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "src" / "third_party").mkdir(parents=True)
     (tmp_path / ".git").mkdir()
