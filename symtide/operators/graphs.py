@@ -94,17 +94,22 @@ def _totals(pairs: DataFrame) -> tuple:
 def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, above, depth): every pair linked by one or more ``edges``, at the least distance; each round doubles the reach.
 
-    A node on a cycle stands above itself. The rounds grow with the logarithm of the depth.
+    A node on a cycle stands above itself. A pair farther apart than the reach has its first leg exactly that long, so a round
+    joins only the pairs at that distance with all others, and writes only what is new. The rounds grow with the logarithm of the depth.
     """
-    pairs = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("above")).distinct().withColumn("depth", F.lit(1)), "closure")
-    before, now = None, _totals(pairs)
-    while now != before:
-        up = pairs.select(F.col("node").alias("above"), F.col("above").alias("top"), F.col("depth").alias("more"))
-        longer = pairs.join(up, "above").select("node", F.col("top").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
-        after = materialize(pairs.unionByName(longer).groupBy("node", "above").agg(F.min("depth").alias("depth")), "closure")
-        release(pairs)
-        pairs, before, now = after, now, _totals(after)
-    return pairs
+    told = {"n": F.count(F.lit(1))}
+    parts, span = [materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("above")).distinct().withColumn("depth", F.lit(1)), "closure", told)], 1
+    edge = parts[0]
+    while edge._symtide_told["n"]:
+        known = reduce(DataFrame.unionByName, parts)
+        leg = edge.filter(F.col("depth") == span)  # nothing older is that long
+        more = known.select(F.col("node").alias("above"), F.col("above").alias("top"), F.col("depth").alias("more"))
+        longer = leg.join(more, "above").select("node", F.col("top").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
+        fresh = longer.groupBy("node", "above").agg(F.min("depth").alias("depth")).join(known.select("node", "above"), ["node", "above"], "left_anti")
+        span *= 2
+        edge = materialize(fresh, "closure", {"n": F.count(F.when(F.col("depth") == span, 1))})
+        parts.append(edge)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def bfs_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, src: str, dst: str, max_depth: int = 10) -> DataFrame:
