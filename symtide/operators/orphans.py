@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: References that one range should hold, and ranges (with their salts) that one task takes.
-RANGE_ROWS, RANGES_A_TASK = 100_000, 4
+#: References that one range should hold; a range, or a salt of a split one, is one task.
+RANGE_ROWS = 100_000
 #: Key ranges (as a power of two) that are counted first; more only where there are too many references for these.
 FINE_BITS = 14
 _REASONS = np.array(["", "missing", "late", "deleted"], dtype=object)
@@ -161,21 +161,25 @@ def orphan_references(refs: DataFrame, parents: DataFrame, range_rows: int = RAN
     np.add.at(counts, (fine["r"].to_numpy() - lowest) >> (fine_bits - bits), fine["n"].to_numpy())
     each = max(range_rows, total >> bits)
     split = np.flatnonzero(counts > 2 * each)  # at most total / (2 * each) ranges, that is half of them
-    many = {int(r) + (lowest >> (fine_bits - bits)): int(-(-counts[r] // each)) for r in split}
+    salts = -(-counts[split] // each)
+    first = (1 << bits) + np.r_[0, np.cumsum(salts - 1)][: len(split)]  # the further salts of a range are tasks behind all ranges
+    base = lowest >> (fine_bits - bits)
+    many = [(int(r) + base, int(k), int(f)) for r, k, f in zip(split, salts, first)]
     # A table for a broadcast join, bounded as the ranges are.
-    told = F.broadcast(refs.sparkSession.createDataFrame(list(many.items()), "r int, salts int")) if many else None
-    salted = lambda df: (df.join(told, "r", "left").withColumn("salts", F.coalesce("salts", F.lit(1))) if many else df.withColumn("salts", F.lit(1)))
-    tasks = max(8, -(-(int(counts.sum()) // range_rows + len(many)) // RANGES_A_TASK))
+    told = F.broadcast(refs.sparkSession.createDataFrame(many, "r int, salts int, first int")) if many else None
+    salted = lambda df: df.join(told, "r", "left").withColumn("salts", F.coalesce("salts", F.lit(1))) if many else df.withColumns({"salts": F.lit(1), "first": F.lit(0)})
+    task = F.when(F.col("salt") > 0, F.col("first") + F.col("salt") - 1).otherwise(F.col("r") - base).cast("int")
+    tasks = (1 << bits) + int((salts - 1).sum())
     kind = dict(refs.dtypes)["made"]
     probes = refs.select(
         F.lit(True).alias("ref"), F.xxhash64("key").alias("h"), "key", "made", F.lit(None).cast(kind).alias("gone"), F.lit(False).alias("kept"), F.col("ref_id").alias("id"), "side", at.alias("r")
     )
-    probes = salted(probes).withColumn("salt", F.pmod(F.hash("id"), F.col("salts"))).drop("salts")
+    probes = salted(probes).withColumn("salt", F.pmod(F.hash("id"), F.col("salts"))).withColumn("task", task).drop("salts", "first", "salt")
     held = parents.filter(F.col("key").isNotNull()).select(
         F.lit(False).alias("ref"), F.xxhash64("key").alias("h"), "key", F.col("made").cast(kind).alias("made"), F.col("gone").cast(kind).alias("gone"), F.coalesce("kept", F.lit(False)).alias("kept"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("side"), at.alias("r")
     )
-    held = salted(held.distinct()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    met = held.unionByName(probes).repartition(tasks, "r", "salt").sortWithinPartitions("ref").drop("r", "salt")
+    held = salted(held.distinct()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("task", task).drop("salts", "first", "salt")
+    met = held.unionByName(probes).repartitionById(tasks, "task").sortWithinPartitions("ref").drop("r", "task")
     return met.mapInArrow(_probe, f"ref_id long, side string, key string, reason string, made {kind}")
 
 
