@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,17 +19,28 @@ def _seconds(a: Column, b: Column) -> Column:
 
 
 def retries(calls: DataFrame, within_seconds: float | None = RETRY_SECONDS, within_calls: int | None = RETRY_CALLS) -> DataFrame:
-    """Calls with ``is_retry``: the session's nearest earlier call of the same tool found nothing, and is near enough."""
-    by_session = W.partitionBy("session").orderBy("ts", "call_id")
-    by_tool = W.partitionBy("session", "tool").orderBy("ts", "call_id")
-    c = calls.withColumn("nth", F.row_number().over(by_session))
-    c = c.withColumn("p", F.lag(F.struct("result_count", "ts", "nth")).over(by_tool))
+    """Calls with ``is_retry``: the session's nearest earlier call of the same tool found nothing, and is near enough.
+
+    No window holds a whole session: calls are put in order within an hour, and what the hours before
+    come to (their number of calls, and the last call of each tool) is carried over by windows of one row an hour.
+    """
+    c = calls.withColumn("__h", F.coalesce(F.date_trunc("hour", "ts").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")))
+    per = c.groupBy("session", "__h").agg(F.count(F.lit(1)).alias("__m"))
+    before = W.partitionBy("session").orderBy("__h").rowsBetween(W.unboundedPreceding, -1)
+    same = lambda *cs: reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__{x}2")) for x in cs])
+    base = per.select(F.col("session").alias("__session2"), F.col("__h").alias("____h2"), F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__base"))
+    c = c.withColumn("__r", F.row_number().over(W.partitionBy("session", "__h").orderBy("ts", "call_id"))).join(base, same("session", "__h")).drop("__session2", "____h2").withColumn("nth", F.col("__base") + F.col("__r"))
+    state = F.struct("result_count", "ts", "nth")
+    last = c.groupBy("session", "tool", "__h").agg(F.max_by(state, F.struct("nth")).alias("__last"))
+    carried = last.select(F.col("session").alias("__session2"), F.col("tool").alias("__tool2"), F.col("__h").alias("____h2"), F.lag("__last").over(W.partitionBy("session", "tool").orderBy("__h")).alias("__carried"))
+    here = F.lag(state).over(W.partitionBy("session", "tool", "__h").orderBy("nth"))
+    c = c.withColumn("__p", here).join(carried, same("session", "tool", "__h")).withColumn("p", F.coalesce("__p", "__carried"))
     near = F.lit(True)
     if within_seconds is not None:
         near &= _seconds(F.col("ts"), F.col("p.ts")) <= within_seconds
     if within_calls is not None:
         near &= F.col("nth") - F.col("p.nth") <= within_calls
-    return c.withColumn("is_retry", F.coalesce((F.col("p.result_count") == 0) & near, F.lit(False))).drop("p", "nth")
+    return c.withColumn("is_retry", F.coalesce((F.col("p.result_count") == 0) & near, F.lit(False))).select(*calls.columns, "is_retry")
 
 
 def usage_summary(calls: DataFrame) -> DataFrame:

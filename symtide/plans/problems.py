@@ -151,6 +151,12 @@ ring_of AS (SELECT w.start_usr AS usr, min(w.node) AS low FROM walk w JOIN ring
 
 ORACLE = {
     "p1_found": _P1 + "SELECT usr, root_usr, CAST(depth AS INTEGER) AS depth FROM down UNION ALL SELECT usr, low, CAST(-1 AS INTEGER) FROM ring_of",
+    "p1_paths": _P1 + """, cut AS (SELECT usr, CASE WHEN usr NOT IN (SELECT low FROM ring_of) THEN parent END AS parent FROM links),
+      dn AS (SELECT usr, usr AS path FROM cut WHERE parent IS NULL UNION ALL SELECT c.usr, dn.path || ' > ' || c.usr FROM cut c JOIN dn ON c.parent = dn.usr)
+      SELECT dn.usr, coalesce(d.root_usr, o.low) AS root_usr, CAST(coalesce(d.depth, -1) AS INTEGER) AS depth, dn.path, r.usr IS NOT NULL AS on_cycle FROM dn LEFT JOIN down d ON d.usr = dn.usr LEFT JOIN ring_of o ON o.usr = dn.usr LEFT JOIN ring r ON r.usr = dn.usr""",
+    "p1_descendants": _P1 + """, up(start, node, d) USING KEY (start, node) AS (SELECT usr, parent, 1 FROM links WHERE parent IS NOT NULL
+      UNION (SELECT up.start, l.parent, min(up.d + 1) FROM up JOIN links l ON l.usr = up.node LEFT JOIN recurring.up AS x ON x.start = up.start AND x.node = l.parent WHERE l.parent IS NOT NULL AND x.d IS NULL GROUP BY 1, 2))
+      SELECT node AS usr, count(*) AS n_descendants, CAST(max(d) AS INTEGER) AS reach FROM up WHERE start <> node GROUP BY 1""",
     "p1_cycles": _P1 + "SELECT r.usr, o.low AS cycle_usr FROM ring r JOIN ring_of o ON o.usr = r.usr",
     "p2_found": f"SELECT side, usr FROM ({_SIDES}) WHERE {_FULL.format('usr')} GROUP BY side, usr HAVING count(*) * 100 >= 2 * (SELECT count(*) FROM call_sites)",
     "p2_profile": f"""SELECT side, usr, count(*) AS n_sites, count(DISTINCT CASE WHEN {_FULL.format('partner')} THEN partner END) AS n_partners, count(DISTINCT file) AS n_files,

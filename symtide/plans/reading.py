@@ -95,14 +95,15 @@ def stream_merge(s: SparkSession, d: str) -> DataFrame:
     return got.agg(F.count(F.lit(1)).alias("n"))
 
 
-@_put()
+@_put("""SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS start, count(*) AS n_calls, count(CASE WHEN event_type = 'error' THEN 1 END) AS n_errors FROM events
+ GROUP BY time_bucket(INTERVAL '1 day', ts) HAVING time_bucket(INTERVAL '1 day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 DAY""")
 def stream_error_rate(s: SparkSession, d: str) -> DataFrame:
     """Windows of the event stream that the watermark has closed."""
     base = scratch_path(s, "rates")
     out = Table(s, f"{base}/table")
 
     def keep(batch: DataFrame, _: int) -> None:
-        rows = batch.select(F.col("window.start").alias("start"), "n_calls", "n_errors")
+        rows = batch.select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "n_calls", "n_errors")
         out.commit(rows if out._pointer() is None else out.read().unionByName(rows))
 
     streams.run_once(streams.error_rate(streams.follow(s, d, "events")), keep, f"{base}/checkpoint")

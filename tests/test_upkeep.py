@@ -92,6 +92,19 @@ def test_arguments_and_fixtures(spark):
     assert rows(telemetry.runaway_loops(calls)) == {("s", "b", 2, 6)}
 
 
+def test_retries_over_hours_and_without_a_session(spark):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    calls = [(1, "s", "a", at(0), 0), (2, "s", "b", at(1), 0), (3, "s", "a", at(59), 0), (4, "s", "a", at(61), 2), (5, "s", "a", at(300), 0), (6, None, "a", at(5), 0), (7, None, "a", at(200), 1), (8, "s", None, None, 0), (9, "s", None, at(1), 1), (10, "t", "a", at(400), 0)]
+    df = spark.createDataFrame(calls, "call_id int, session string, tool string, ts timestamp_ntz, result_count int")
+    got = {r["call_id"]: r["is_retry"] for r in telemetry.retries(df, None, None).collect()}
+    want = {}
+    for c, s, t, ts, _ in calls:
+        before = [x for x in calls if x[1] == s and x[2] == t and (x[3] or dt.datetime.min, x[0]) < (ts or dt.datetime.min, c)]
+        want[c] = bool(before) and max(before, key=lambda x: (x[3] or dt.datetime.min, x[0]))[4] == 0
+    assert got == want and got[4] and got[7] and got[9]
+    assert {r["call_id"] for r in telemetry.retries(df, 150.0, 1).filter("is_retry").collect()} == {4}
+
+
 def test_timings_and_capped(spark):
     assert set(upkeep.timings({"a": lambda: spark.range(1), "b": lambda: spark.range(2)})) == {"a", "b"}
     pairs = spark.createDataFrame([("s", f"n{i}", i // 3) for i in range(9)] + [("t", "t", 0)], "start string, node string, depth int")
