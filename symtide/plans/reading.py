@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..functions.arguments import arguments_hash, project_hash
+from ..functions.arguments import arguments_hash, command_words, project_hash
 from ..operators.store import Table
 from ..session import scratch_path, table
 from ..sources import extract, tables
@@ -26,8 +26,17 @@ def _put(sql: str | None = None):
     return put
 
 
+#: The words of a command as a POSIX shell makes them (JSON arrays as they are, semicolons as blanks), in DuckDB.
+WORDS_SQL = r"""CASE WHEN command IS NULL OR NOT regexp_matches(command, '\S') THEN NULL WHEN json_valid(command) AND json_type(command) = 'ARRAY' THEN CAST(from_json(command, '["VARCHAR"]') AS VARCHAR[])
+ ELSE list_transform(regexp_extract_all(regexp_replace(command, '\\\r?\n', '', 'g'), '(?:[^\s"''\\;]|\\(?s:.)|"(?:[^"\\]|\\(?s:.))*"|''[^'']*'')+'), lambda w: array_to_string(list_transform(regexp_extract_all(w, '"(?:[^"\\]|\\(?s:.))*"|''[^'']*''|(?:[^"''\\]|\\(?s:.))+'),
+  lambda p: CASE WHEN p[1] = '"' THEN regexp_replace(p[2:-2], '\\(["\\$`])', '\1', 'g') WHEN p[1] = '''' THEN p[2:-2] ELSE regexp_replace(p, '\\((?s:.))', '\1', 'g') END), '')) END"""
+#: Every entry with its arguments, whichever way it states them.
+CC = f"cc AS (SELECT * EXCLUDE (arguments), coalesce(arguments, {WORDS_SQL}) AS arguments FROM compile_commands)"
+
+
 def _commands(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "compile_commands").select("file", "directory", "arguments", F.col("command_id").alias("position"))
+    t = table(s, d, "compile_commands")
+    return t.select("file", "directory", F.coalesce("arguments", command_words(F.col("command"))).alias("arguments"), F.col("command_id").alias("position"))
 
 
 @_put()
@@ -38,7 +47,7 @@ def compile_arguments(s: SparkSession, d: str) -> DataFrame:
     return tables.latest_arguments(t, rules, ("-std=c++17",))
 
 
-@_put("""WITH a AS (SELECT file, arguments FROM compile_commands WHERE len(arguments) > 0), u AS (SELECT unnest(arguments) AS v, unnest(list_concat(arguments[2:], [NULL])) AS nxt FROM a)
+@_put(f"""WITH {CC}, a AS (SELECT file, arguments FROM cc WHERE len(arguments) > 0), u AS (SELECT unnest(arguments) AS v, unnest(list_concat(arguments[2:], [NULL])) AS nxt FROM a)
  SELECT (SELECT count(*) FROM a) AS n_entries, (SELECT count(DISTINCT file) FROM a) AS n_files, count(DISTINCT CASE WHEN starts_with(v, '-std=') THEN v END) AS n_std, count(DISTINCT CASE WHEN v = '-isystem' THEN nxt END) AS n_system FROM u""")
 def argument_profile(s: SparkSession, d: str) -> DataFrame:
     return tables.argument_profile(_commands(s, d))
@@ -49,17 +58,17 @@ def commands_under(s: SparkSession, d: str) -> DataFrame:
     return tables.under(_commands(s, d), ["/srv/build/atlas", "/srv/build/cinder/"]).select("position", "file")
 
 
-@_put("""WITH u AS (SELECT file, unnest(arguments) AS v, unnest(list_concat(arguments[2:], [NULL])) AS nxt FROM compile_commands WHERE len(arguments) > 0),
+@_put(f"""WITH {CC}, u AS (SELECT file, unnest(arguments) AS v, unnest(list_concat(arguments[2:], [NULL])) AS nxt FROM cc WHERE len(arguments) > 0),
  p AS (SELECT file, CASE WHEN v IN ('-I', '-isystem') THEN nxt WHEN regexp_matches(v, '^(-I|-isystem).+') THEN regexp_replace(v, '^(-isystem|-I)', '') END AS directory FROM u)
  SELECT directory, count(DISTINCT file) AS n_files FROM p WHERE directory IS NOT NULL AND directory NOT IN (SELECT DISTINCT directory FROM compile_commands WHERE directory IS NOT NULL) GROUP BY 1""")
 def include_audit(s: SparkSession, d: str) -> DataFrame:
     return tables.include_audit(_commands(s, d), _commands(s, d).filter("directory IS NOT NULL"))
 
 
-@_put("SELECT command_id, sha256(array_to_string(arguments, '|')) AS args_hash, left(sha256(directory || '|' || file), 16) AS project_hash FROM compile_commands WHERE arguments IS NOT NULL AND directory IS NOT NULL AND file IS NOT NULL")
+@_put(f"WITH {CC} SELECT command_id, sha256(array_to_string(arguments, '|')) AS args_hash, left(sha256(directory || '|' || file), 16) AS project_hash FROM cc WHERE arguments IS NOT NULL AND directory IS NOT NULL AND file IS NOT NULL")
 def argument_hashes(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "compile_commands").filter("arguments IS NOT NULL AND directory IS NOT NULL AND file IS NOT NULL")
-    return t.select("command_id", arguments_hash(F.col("arguments")).alias("args_hash"), project_hash(F.col("directory"), F.col("file")).alias("project_hash"))
+    t = _commands(s, d).filter("arguments IS NOT NULL AND directory IS NOT NULL AND file IS NOT NULL")
+    return t.select(F.col("position").alias("command_id"), arguments_hash(F.col("arguments")).alias("args_hash"), project_hash(F.col("directory"), F.col("file")).alias("project_hash"))
 
 
 @_put(r"""SELECT DISTINCT doc_id AS file, unnest(regexp_extract_all(text, '(?m)^[ \t]*#[ \t]*include[ \t]*[<"]([^>"\n]+)[>"]', 1)) AS included FROM documents WHERE text IS NOT NULL""")

@@ -12,6 +12,7 @@ from ..operators import relations as rel
 from ..operators.relations import ALIASES, CALLS, CLS, EDGES, FUN, INCLUDES, SYM
 from ..operators.search import Criteria
 from ..session import materialize, table
+from .reading import CC, _commands
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -477,11 +478,11 @@ def change_set(s: SparkSession, d: str) -> DataFrame:
     return increments.change_set(*_snapshots(s, d))
 
 
-@query("""WITH a AS (SELECT file, sha256(array_to_string(arguments, '|')) AS hash FROM (SELECT file, arg_min(arguments, command_id) AS arguments FROM compile_commands WHERE arguments IS NOT NULL GROUP BY 1)),
- b AS (SELECT file, sha256(array_to_string(arguments, '|')) AS hash FROM (SELECT file, arg_max(arguments, command_id) AS arguments FROM compile_commands WHERE arguments IS NOT NULL AND command_id % 3 <> 0 GROUP BY 1))
+@query(f"""WITH {CC}, a AS (SELECT file, sha256(array_to_string(arguments, '|')) AS hash FROM (SELECT file, arg_min(arguments, command_id) AS arguments FROM cc WHERE arguments IS NOT NULL GROUP BY 1)),
+ b AS (SELECT file, sha256(array_to_string(arguments, '|')) AS hash FROM (SELECT file, arg_max(arguments, command_id) AS arguments FROM cc WHERE arguments IS NOT NULL AND command_id % 3 <> 0 GROUP BY 1))
  SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NULL THEN 'added' WHEN b.file IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.file = b.file WHERE a.file IS NULL OR b.file IS NULL OR a.hash <> b.hash""")
 def compile_diff(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "compile_commands").filter("arguments IS NOT NULL")
+    t = _commands(s, d).withColumnRenamed("position", "command_id").filter("arguments IS NOT NULL")
     h = lambda df, pick: df.groupBy("file").agg(pick("arguments", "command_id").alias("a")).select("file", F.sha2(F.array_join("a", "|"), 256).alias("hash"))
     return increments.argument_changes(h(t, F.min_by), h(t.filter("command_id % 3 <> 0"), F.max_by))
 

@@ -11,6 +11,7 @@ from ..operators import relations as rel
 from ..operators.relations import CALLS, EDGES, INCLUDES, SYM
 from ..session import table
 from ..sources import tables
+from .reading import CC, WORDS_SQL, _commands
 from .reference import _REC, _records
 
 QUERIES: dict = {}
@@ -137,11 +138,11 @@ def header_states(s: SparkSession, d: str) -> DataFrame:
     return upkeep.header_states(m.select(F.col("file_path").alias("header"), event.alias("event"), F.col("file_hash").alias("hash"), F.struct("indexed_at", "record_id").alias("at")))
 
 
-@query("""WITH a AS (SELECT file, sha256(array_to_string(arguments, '|')) AS hash FROM (SELECT file, arg_min(arguments, command_id) AS arguments FROM compile_commands WHERE arguments IS NOT NULL AND command_id % 2 = 0 GROUP BY 1)),
- b AS (SELECT file, sha256(array_to_string(arguments, '|')) AS hash FROM (SELECT file, arg_max(arguments, command_id) AS arguments FROM compile_commands WHERE arguments IS NOT NULL GROUP BY 1))
+@query(f"""WITH {CC}, a AS (SELECT file, sha256(array_to_string(arguments, '|')) AS hash FROM (SELECT file, arg_min(arguments, command_id) AS arguments FROM cc WHERE arguments IS NOT NULL AND command_id % 2 = 0 GROUP BY 1)),
+ b AS (SELECT file, sha256(array_to_string(arguments, '|')) AS hash FROM (SELECT file, arg_max(arguments, command_id) AS arguments FROM cc WHERE arguments IS NOT NULL GROUP BY 1))
  SELECT count(CASE WHEN a.file IS NULL THEN 1 END) AS n_new, count(CASE WHEN a.hash <> b.hash THEN 1 END) AS n_changed, count(CASE WHEN a.hash = b.hash THEN 1 END) AS n_same FROM b LEFT JOIN a USING (file)""")
 def stored_hashes(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "compile_commands").filter("arguments IS NOT NULL")
+    t = _commands(s, d).withColumnRenamed("position", "command_id").filter("arguments IS NOT NULL")
     h = lambda df, pick: df.groupBy("file").agg(pick("arguments", "command_id").alias("a")).select("file", F.sha2(F.array_join("a", "|"), 256).alias("hash"))
     return upkeep.stored_hashes(h(t.filter("command_id % 2 = 0"), F.min_by), h(t, F.max_by))
 
@@ -164,17 +165,17 @@ def first_commands(s: SparkSession, d: str) -> DataFrame:
     return tables.first_commands(t).select("file", F.col("position").alias("command_id"), "command")
 
 
-@query("""WITH u AS (SELECT command_id, unnest(arguments) AS v, generate_subscripts(arguments, 1) AS p FROM compile_commands WHERE len(arguments) > 0 AND command IS NULL) SELECT v AS value, min(command_id) AS first_command FROM u WHERE starts_with(v, '-std=') OR starts_with(v, '-D') GROUP BY 1""")
+@query(f"""WITH {CC}, u AS (SELECT command_id, unnest(arguments) AS v FROM cc WHERE len(arguments) > 0) SELECT v AS value, min(command_id) AS first_command FROM u WHERE starts_with(v, '-std=') OR starts_with(v, '-D') GROUP BY 1""")
 def argument_values(s: SparkSession, d: str) -> DataFrame:
     """Every standard and definition in use, with the command that has it first."""
-    t = table(s, d, "compile_commands").filter("command IS NULL").select("arguments", F.col("command_id").alias("position"))
-    return tables.ordered_values(t, ("-std=", "-D"))
+    return tables.ordered_values(_commands(s, d), ("-std=", "-D"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT command_id, {WORDS_SQL} AS words FROM compile_commands) SELECT command_id, len(words) AS n, md5(array_to_string(words, chr(10))) AS words_md5 FROM w WHERE words IS NOT NULL""")
 def command_arguments(s: SparkSession, d: str) -> DataFrame:
-    """The words of every command text."""
-    return table(s, d, "compile_commands").select("command_id", command_words(F.col("command")).alias("words")).filter("words IS NOT NULL")
+    """How many words every command text has, and their hash."""
+    got = table(s, d, "compile_commands").select("command_id", command_words(F.col("command")).alias("words")).filter("words IS NOT NULL")
+    return got.select("command_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", "\n")).alias("words_md5"))
 
 
 # --- telemetry ------------------------------------------------------------
