@@ -38,9 +38,9 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share for checkpoints and written intermediates.
 
-    ``spark.checkpoint.dir`` of the session wins, then a directory set on the context. Only in
-    local mode, where both are unset, a temporary folder of our own is made; on a cluster
-    nobody but its owner knows which folder is shared, so there it is an error.
+    ``spark.checkpoint.dir`` of the session wins, then a directory set on the context. Where both are
+    unset a folder of our own is made: a temporary one in local mode, else one on the cluster's default
+    file system; if that is the machine's own, nobody but the cluster's owner knows a shared folder, and it is an error.
     """
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -49,9 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get().rstrip("/")
-    if not (sc.master.startswith("local[") or sc.master == "local"):
+    if sc.master.startswith("local[") or sc.master == "local":
+        own = tempfile.mkdtemp(prefix="symtide-")
+    elif sc._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="symtide-"))
+    else:
+        own = f"symtide-checkpoints/{sc.applicationId}"
+    sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
