@@ -179,6 +179,28 @@ def test_symbols(spark, clash):
     assert H.symbol_hierarchy(df.limit(0)).count() == 0
 
 
+def test_descendants_of_symbols_come_out_as_pairs(spark, tmp_path):
+    """Classes and members in a tree, on a cycle and below it: each pair once, and as many as p1_descendants counts."""
+    from symtide.plans import all_queries
+
+    under = {"1": None, "2": "1", "3": "2", "4": "2", "5": "7", "6": "5", "7": "6", "8": "6", "9": "8", "10": "10", "11": "10", "12": None}
+    leaves = ("4", "9", "11", "12")
+    rows = [(i, "method" if i in leaves else "class", f"a::C{i}", p and f"a::C{p}", None, True) for i, p in under.items()]
+    spark.createDataFrame(rows + rows[:3], SYMBOL).write.parquet(f"{tmp_path}/symbols.parquet")
+    want = set()
+    for i in under:
+        seen, at = [i], under[i]
+        while at is not None and at not in seen:
+            want.add((at, i, len(seen)))
+            seen.append(at)
+            at = under[at]
+    got = [tuple(r) for r in all_queries()["p1_descendant_pairs"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)
+    counts = {r["usr"]: (r["n_descendants"], r["reach"]) for r in all_queries()["p1_descendants"](spark, str(tmp_path)).collect()}
+    far = {a: [x for u, _, x in got if u == a] for a, _, _ in got}
+    assert counts == {a: (len(x), max(x)) for a, x in far.items()}
+
+
 def test_hot_parent(spark):
     """A third of all nodes under one parent."""
     links = [("hub", None)] + [(f"m{i}", "hub" if i % 3 == 0 else f"m{i - 1}" if i else None) for i in range(3000)]
