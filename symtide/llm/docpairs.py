@@ -4,12 +4,14 @@ Method: a generalised LL parser (``gll``) reads function declarations; it starts
 anew at every place where one may begin, so valid functions come out of broken
 files whatever stands between them. The same parser tells commented-out code from
 words: a line of a comment that parses as statements says nothing. Comments are cleaned of marks, tags and all
-that says nothing, and description templates that the corpus repeats are found by
-hash counts over all descriptions: texts that smell of boilerplate are dropped when their template recurs.
+that says nothing, and sentence templates that the corpus repeats are found by
+hash counts over all descriptions: a sentence is dropped when its template recurs and it smells of boilerplate
+or never stands without a notice. What is left of a text must still say something, else the next text counts.
 
 Defined results: null and blank signatures or names of other kinds give no pair;
 the row that counts of a usr is a definition if there is one, ties go to the
-largest row; doc_comment comes first, then brief; repeated rows give one pair.
+largest row; doc_comment comes first, then brief, also where boilerplate is all that
+doc_comment holds; repeated rows give one pair.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import blank, materialize
@@ -369,11 +371,11 @@ def is_code(line: str) -> bool:
     return bool(kinds) and _STATEMENTS.whole(kinds)
 
 
-def description(comment: str | None, name: str | None = None, params: tuple[str, ...] = (), code=is_code) -> str:
-    """What a comment says of its own; empty if it says nothing."""
+def sentences(comment: str | None, name: str | None = None, params: tuple[str, ...] = (), code=is_code) -> tuple[list[str], bool]:
+    """What a comment says of its own, and whether a notice stands beside it."""
     if not comment or not comment.strip():
-        return ""
-    own, kept = name_words(name), []
+        return [], False
+    own, kept, beside = name_words(name), [], False
     for raw in re.split(r"\r\n|\r|\n", comment):
         line = _MARK.sub("", _MARK.sub("", raw)).strip()
         if not any(c.isalnum() for c in line) and not re.search(r"[@\\][{}]", line):
@@ -384,32 +386,75 @@ def description(comment: str | None, name: str | None = None, params: tuple[str,
             for s in _SENTENCES.split(part):
                 s = _TODO.sub("", s.strip()).strip()
                 words = _WORDS.findall(s)
-                if not words or _NOTICE.search(s) or _POINTER.match(s):
+                if not words:
+                    continue
+                if _NOTICE.search(s):
+                    beside = True
+                    continue
+                if _POINTER.match(s):
                     continue
                 if all(_of_name(w, own) or w in params for w in words):
                     continue
                 kept.append(s)
-    text = " ".join(kept)
+    return kept, beside
+
+
+def description(comment: str | None, name: str | None = None, params: tuple[str, ...] = (), code=is_code) -> str:
+    """What a comment says of its own as one text; empty if it says nothing."""
+    text = " ".join(sentences(comment, name, params, code)[0])
     return text if count_words(text) >= LEAST_WORDS else ""
 
 
-def template_of(text: str, name: str | None) -> int:
-    """A hash of a description with numbers and the symbol's own words masked."""
+def template_of(text: str, name: str | None) -> tuple[int, bool, bool]:
+    """A hash of a sentence with numbers and the symbol's own words masked, whether what is left smells of boilerplate, and whether any word was its own."""
     own = name_words(name)
-    masked = " ".join("_" if _of_name(w, own) and w.lower() not in _FILL else w.lower() for w in re.findall(r"\w+", re.sub(r"\d+", "0", text)))
-    return int.from_bytes(hashlib.blake2b(masked.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+    words = ["_" if _of_name(w, own) and w.lower() not in _FILL else w.lower() for w in re.findall(r"\w+", re.sub(r"\d+", "0", text))]
+    masked = " ".join(words)
+    return int.from_bytes(hashlib.blake2b(masked.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True), bool(_SOFT.search(masked)), "_" in words
+
+
+def said_of(comments: tuple[str | None, ...], name: str | None, params: tuple[str, ...], shown: str | None = None) -> list[tuple]:
+    """The sentences of a symbol's comments (place, text, words, template, soft, beside, first); none if no comment says something.
+
+    place: which comment it is; beside: a notice stands in it too, and the sentence has no word of the symbol; first: the symbol's first sentence of its template; ``shown`` is the name whose words are masked, if not ``name``.
+    """
+    out, seen, enough = [], set(), False
+    for place, comment in enumerate(comments):
+        kept, beside = sentences(comment, name, params)
+        n = 0
+        for s in kept:
+            template, soft, named = template_of(s, shown or name)
+            out.append((place, s, count_words(s), template, soft, beside and not named, template not in seen))
+            seen.add(template)
+            n += out[-1][2]
+        enough = enough or n >= LEAST_WORDS
+    return out if enough else []
 
 
 # --- operators ------------------------------------------------------------
 
-_PAIR = "usr string, code string, qualified_name string, description string, template long, soft boolean"
+_SAID = "said array<struct<place int, text string, words int, template long, soft boolean, beside boolean, first boolean>>"
+_PAIR = f"usr string, code string, qualified_name string, {_SAID}"
+
+
+def _drop_repeated(pairs: DataFrame, key: list[str], repeated: int) -> DataFrame:
+    """``pairs`` (unique by ``key``) with a description in place of ``said``: the first comment that says something without repeated boilerplate.
+
+    A template that ``repeated`` symbols share, counted over all sentences, is boilerplate if it smells of it, or if every
+    comment that holds it holds a notice too and it names no symbol. Recurrence alone makes none, as valid sentences recur as widely.
+    """
+    pairs = materialize(pairs, "pairs")  # parsed once, read several times
+    each = pairs.select(*key, F.explode("said").alias("x")).select(*key, "x.*")
+    counts = each.groupBy("template").agg(F.count_if("first").alias("n"), F.bool_or("soft").alias("smells"), F.bool_and("beside").alias("always_beside"))
+    many = counts.filter((F.col("n") >= repeated) & (F.col("smells") | F.col("always_beside"))).select("template")
+    gone = each.join(many, "template", "left_semi").groupBy(*key).agg(F.collect_set("template").alias("gone"))
+    met = pairs.join(gone, key, "left").withColumn("said", F.when(F.col("gone").isNull(), F.col("said")).otherwise(F.filter("said", lambda x: ~F.array_contains("gone", x["template"]))))
 
+    def text(place: int) -> Column:
+        own = F.filter("said", lambda x: x["place"] == place)
+        return F.when(F.aggregate(own, F.lit(0), lambda n, x: n + x["words"]) >= LEAST_WORDS, F.array_join(F.transform(own, lambda x: x["text"]), " "))
 
-def _drop_repeated(pairs: DataFrame, repeated: int) -> DataFrame:
-    """Without the texts that smell of boilerplate and whose template the corpus repeats, counted over all texts."""
-    pairs = materialize(pairs, "pairs")  # parsed once, read twice
-    many = pairs.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.max("soft").alias("any_soft")).filter((F.col("n") >= repeated) & F.col("any_soft")).select("template")
-    return pairs.filter(~F.col("soft")).unionByName(pairs.filter("soft").join(many, "template", "left_anti"))
+    return met.withColumn("description", F.coalesce(text(0), text(1))).filter(F.col("description").isNotNull()).drop("said", "gone")
 
 
 def symbol_pairs(symbols: DataFrame, repeated: int = REPEATED) -> DataFrame:
@@ -428,13 +473,12 @@ def symbol_pairs(symbols: DataFrame, repeated: int = REPEATED) -> DataFrame:
             out = []
             for usr, name, qn, sig, doc, brief in zip(b["usr"], b["name"], b["qualified_name"], b["signature"], b["doc_comment"], b["brief"]):
                 _, params, _ = signatures.parts(sig)
-                text = description(doc, name, tuple(params)) or description(brief, name, tuple(params))
-                if text:
-                    out.append((usr, sig, qn, text, template_of(text, name), bool(_SOFT.search(text))))
-            yield pd.DataFrame(out, columns=["usr", "code", "qualified_name", "description", "template", "soft"])
+                if said := said_of((doc, brief), name, tuple(params)):
+                    out.append((usr, sig, qn, said))
+            yield pd.DataFrame(out, columns=["usr", "code", "qualified_name", "said"])
 
     pairs = rows.select("usr", "name", "qualified_name", "signature", "doc_comment", "brief").mapInPandas(run, _PAIR)
-    return _drop_repeated(pairs, repeated).select("usr", "code", "qualified_name", "description")
+    return _drop_repeated(pairs, ["usr"], repeated).select("usr", "code", "qualified_name", "description")
 
 
 def source_pairs(documents: DataFrame, repeated: int = REPEATED) -> DataFrame:
@@ -450,11 +494,10 @@ def source_pairs(documents: DataFrame, repeated: int = REPEATED) -> DataFrame:
             out = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 for pos, (name, head, comment, params) in enumerate(functions_of(text, heads, makers)):
-                    said = description(comment, name.rpartition("::")[2], tuple(params))
-                    if said:
-                        out.append((doc, pos, name, head, said, template_of(said, name), bool(_SOFT.search(said))))
-            yield pd.DataFrame(out, columns=["doc_id", "pos", "function_name", "code", "description", "template", "soft"])
+                    if said := said_of((comment,), name.rpartition("::")[2], tuple(params), name):
+                        out.append((doc, pos, name, head, said))
+            yield pd.DataFrame(out, columns=["doc_id", "pos", "function_name", "code", "said"])
 
     texts = documents.select("doc_id", "text").filter(F.col("text").contains("(") & F.col("text").rlike(r"//|/\*"))
-    pairs = texts.mapInPandas(run, "doc_id long, pos int, function_name string, code string, description string, template long, soft boolean")
-    return _drop_repeated(pairs, repeated).drop("template", "soft")
+    pairs = texts.mapInPandas(run, f"doc_id long, pos int, function_name string, code string, {_SAID}")
+    return _drop_repeated(pairs, ["doc_id", "pos"], repeated)

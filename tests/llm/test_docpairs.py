@@ -153,3 +153,23 @@ def test_symbols(spark, clash):
 def test_repeated_boilerplate_goes(spark):
     rows = [(str(i), "function", f"f{i}", "f", "void ()", "/// Boilerplate of the contributors goes here.", None, True) for i in range(25)] + [("x", "function", "g", "g", "void ()", "/// Checks the license of one plugin file.", None, True)]
     assert [r["usr"] for r in D.symbol_pairs(spark.createDataFrame(rows, SYMBOL)).collect()] == ["x"]
+
+
+def test_repeated_boilerplate_beside_own_words(spark):
+    """Sentence by sentence: what is left counts, then the brief; the symbol's own words do not smell; what only notices have beside them goes."""
+    plate, own = "/// Boilerplate of the contributors goes here.", "Opens the file and reads it."
+    licence = "/// Copyright (c) 2014 the X authors.\n/// Provided as is and for any purpose whatsoever.\n"
+    # name, doc_comment, brief and what must come out
+    cases = {
+        "mixed": ("open", f"{plate} {own}", None, own),
+        "short": ("open", f"{plate} Rather slow.", None, None),
+        "brief": ("open", plate, own, own),
+        "both": ("open", plate, plate, None),
+        "notice": ("open", licence, None, None),
+        "beside": ("close", f"{licence}/// Closes every handle at once.", None, "Closes every handle at once."),
+        "named": ("checkLicense", "/// Checks the license before a plugin starts.", None, "Checks the license before a plugin starts."),
+        "recurs": ("open", "/// Must be called by the main thread.", None, "Must be called by the main thread."),
+    }
+    rows = [(f"{k}{i}", "function", name, "f", "void ()", doc, brief, True) for k, (name, doc, brief, _) in cases.items() for i in range(25)]
+    got = D.symbol_pairs(spark.createDataFrame(rows, SYMBOL)).collect()
+    assert {r["usr"]: r["description"] for r in got} == {f"{k}{i}": c[3] for k, c in cases.items() for i in range(25) if c[3]} and len(got) == 125
