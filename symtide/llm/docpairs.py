@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -335,11 +336,11 @@ def name_words(name: str | None) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name or "")}
 
 
-def _of_name(word: str, own: set[str]) -> bool:
-    w = word.lower()
-    if w in own or w in _FILL:
-        return True
-    return any(w in (n + "s", n + "es", n + "ed", n + "d", n + "ing", n[:-1] + "ies", n[:-1] + "ied", n[:-1] + "ing", n + n[-1:] + "ing", n + n[-1:] + "ed") for n in own if len(n) > 1)
+@lru_cache(maxsize=1000)
+def name_forms(name: str | None) -> frozenset[str]:
+    """The words of an identifier in all their forms."""
+    own = name_words(name)
+    return frozenset(own).union(*((n + "s", n + "es", n + "ed", n + "d", n + "ing", n[:-1] + "ies", n[:-1] + "ied", n[:-1] + "ing", n + n[-1:] + "ing", n + n[-1:] + "ed") for n in own if len(n) > 1))
 
 
 def count_words(text: str) -> int:
@@ -375,7 +376,7 @@ def sentences(comment: str | None, name: str | None = None, params: tuple[str, .
     """What a comment says of its own, and whether a notice stands beside it."""
     if not comment or not comment.strip():
         return [], False
-    own, kept, beside = name_words(name), [], False
+    own, kept, beside = name_forms(name) | _FILL, [], False
     for raw in re.split(r"\r\n|\r|\n", comment):
         line = _MARK.sub("", _MARK.sub("", raw)).strip()
         if not any(c.isalnum() for c in line) and not re.search(r"[@\\][{}]", line):
@@ -393,7 +394,7 @@ def sentences(comment: str | None, name: str | None = None, params: tuple[str, .
                     continue
                 if _POINTER.match(s):
                     continue
-                if all(_of_name(w, own) or w in params for w in words):
+                if all(w.lower() in own or w in params for w in words):
                     continue
                 kept.append(s)
     return kept, beside
@@ -407,8 +408,8 @@ def description(comment: str | None, name: str | None = None, params: tuple[str,
 
 def template_of(text: str, name: str | None) -> tuple[int, bool, bool]:
     """A hash of a sentence with numbers and the symbol's own words masked, whether what is left smells of boilerplate, and whether any word was its own."""
-    own = name_words(name)
-    words = ["_" if _of_name(w, own) and w.lower() not in _FILL else w.lower() for w in re.findall(r"\w+", re.sub(r"\d+", "0", text))]
+    own = name_forms(name) - _FILL
+    words = ["_" if w in own else w for w in re.findall(r"\w+", re.sub(r"\d+", "0", text).lower())]
     masked = " ".join(words)
     return int.from_bytes(hashlib.blake2b(masked.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True), bool(_SOFT.search(masked)), "_" in words
 
